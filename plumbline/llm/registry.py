@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from . import bpe, rules, secrets
+from . import bpe, licenses, rules, secrets, warc
 
-MODULES = [bpe, secrets, rules]
+MODULES = [licenses, bpe, secrets, rules, warc]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
