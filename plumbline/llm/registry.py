@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from . import bpe, decontam, licenses, rules, secrets, warc
+from . import bpe, decontam, licenses, near, rules, secrets, warc
 
-MODULES = [decontam, licenses, bpe, secrets, rules, warc]
+MODULES = [decontam, licenses, bpe, secrets, rules, warc, near]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

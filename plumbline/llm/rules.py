@@ -215,6 +215,24 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= limit))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that `judge` keeps. The verdict is formed where the
+    row is, so that rows with null or repeated ids get their own."""
+    measured = C.checkpoint(measure(docs))
+    forest = fit(measured)
+    limit = threshold(scored(measured, forest), labels)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = C.buffers(batch.column("text"))
+            for a, b in C.chunks(offsets):
+                counts, features = measure_buffers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
+                yield batch.slice(a, b - a).filter(pa.array(~failed & (forest.score(features) <= limit)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
     return rows.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")

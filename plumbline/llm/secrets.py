@@ -99,32 +99,36 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, D
     return catalog(docs).select("doc_id", "blob").join(known, "blob").drop("blob"), whole
 
 
-def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """The rows of `docs`, all columns, each found span replaced by `mark`; where a text
-    changes and there is an n_chars, it is counted anew."""
+def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "<secret>") -> DataFrame:
+    """The rows of `docs`, all columns, each span that the ledger scan finds replaced by `mark`;
+    where a text changes and there is an n_chars, it is counted anew."""
     C.tune(docs.sparkSession)
+    now = C.checkpoint(scan_unseen(docs, ledger))
+    whole = now if ledger is None else ledger.select(now.columns).unionByName(now)
+    known = whole.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     names, schema = docs.columns, docs.schema
+    address = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
 
     def run(batches):
         for batch in batches:
-            old = batch.column("text").to_pylist()
-            new = []
-            for text in old:
-                parts, at = [], 0
-                spans = sorted(s for found in find(text or "").values() for s in found)
-                for start, end in spans:
-                    if start >= at:
-                        parts += [text[at:start], mark]
-                    at = max(at, end)
-                new.append("".join([*parts, text[at:]]) if spans else text)
+            old, new = batch.column("text").to_pylist(), []
+            for text, spans in zip(old, batch.column("__spans").to_pylist(), strict=True):
+                if spans:
+                    parts, at = [], 0
+                    for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+                        if start >= at:
+                            parts += [text[at:start], mark]
+                        at = max(at, end)
+                    text = "".join([*parts, text[at:]])
+                new.append(text)
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in names:
                 was = batch.column("n_chars")
-                counted = [n if a == b else len(b) for n, a, b in zip(was.to_pylist(), old, new, strict=True)]
+                counted = [n if x == y else len(y) for n, x, y in zip(was.to_pylist(), old, new, strict=True)]
                 columns["n_chars"] = pa.array(counted, was.type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.join(known, address == F.col("__blob"), "left").drop("__blob").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
