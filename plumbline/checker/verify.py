@@ -154,7 +154,7 @@ class Session:
     def _extract(self, worlds: Wd.Worlds, world: int) -> dict[str, tuple]:
         out = {}
         for t in self.schema.tables:
-            rows = worlds.tables[t.key()].filter(F.col(Wd.WORLD) == world).orderBy("position").select(*[c.key() for c in t.columns]).collect()
+            rows = worlds.tables[t.key()].filter(F.col(Wd.WORLD) == world).orderBy("__position").select(*[c.key() for c in t.columns]).collect()
             out[t.key()] = tuple(map(tuple, rows))
         return out
 
@@ -162,7 +162,7 @@ class Session:
         """Both queries on one database, evaluated plainly."""
         frames = {}
         for t in self.schema.tables:
-            kind = T.StructType([T.StructField("position", T.LongType())] + [T.StructField(c.key(), spark_type(c.type, True)) for c in t.columns])
+            kind = T.StructType([T.StructField("__position", T.LongType())] + [T.StructField(c.key(), spark_type(c.type, True)) for c in t.columns])
             frames[t.key()] = self.spark.createDataFrame([(k, *row) for k, row in enumerate(tables[t.key()])], kind)
         results = []
         for q in (a, b):

@@ -50,7 +50,7 @@ def _states(spark: SparkSession, schema: Schema, table: Table, domains: dict[str
     if symmetric and bound > 1:
         order = [F.when(F.col("__n") > p + 1, (F.col("__d")[p] < F.col("__d")[p + 1]) if keyed else (F.col("__d")[p] <= F.col("__d")[p + 1])).otherwise(True) for p in range(bound - 1)]
         every = every.filter(reduce(lambda a, b: a & b, order))
-    exploded = every.select("__s", F.posexplode(F.slice("__d", 1, F.col("__n"))).alias("position", "__row"))
+    exploded = every.select("__s", F.posexplode(F.slice("__d", 1, F.col("__n"))).alias("__position", "__row"))
     columns, step = [], 1
     for c, n in zip(table.columns, sizes, strict=True):
         kind = spark_type(c.type, True)
@@ -58,13 +58,13 @@ def _states(spark: SparkSession, schema: Schema, table: Table, domains: dict[str
         values = F.array(*[F.lit(v).cast(kind) for v in domains[c.key()]])
         columns.append(F.get(values, at).alias(c.key()))
         step *= n
-    data = exploded.select("__s", F.col("position").cast("bigint").alias("position"), *columns)
+    data = exploded.select("__s", F.col("__position").cast("bigint").alias("__position"), *columns)
     local = Schema((table,), tuple(c for c in schema.constraints if _only(c, schema) == {table.key()}))
     bad = [df.select("__s") for _, df in K.violations({table.key(): data}, local, ["__s"], exact=True)]
     kept = every.select("__s", "__n")
     if bad:
         kept = kept.join(reduce(DataFrame.unionAll, bad).distinct(), "__s", "left_anti")
-    numbered = kept.withColumn("state", F.row_number().over(W.orderBy("__n", "__s")).cast("bigint") - 1).drop("__n")
+    numbered = kept.withColumn("__state", F.row_number().over(W.orderBy("__n", "__s")).cast("bigint") - 1).drop("__n")
     numbered = numbered.cache()
     return data.join(numbered, "__s").drop("__s").cache(), numbered.count()
 
@@ -108,7 +108,7 @@ def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str],
     frames, step = {}, 1
     for t, rows, n in zip(tables, states, sizes, strict=True):
         state = (F.floor(F.col(WORLD) / step) % n).cast("bigint")
-        frames[t.key()] = every.withColumn("state", state).join(rows, "state").drop("state")
+        frames[t.key()] = every.withColumn("__state", state).join(rows, "__state").drop("__state")
         step *= n
     shared = Schema(schema.tables, tuple(c for c in schema.constraints if len(_only(c, schema)) > 1 and _only(c, schema) <= concerned))
     bad = []
@@ -124,5 +124,5 @@ def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str],
         frames = {k: f.join(every, WORLD, "left_semi") for k, f in frames.items()}
     for t in schema.tables:  # tables that nothing concerns stay empty
         if t.key() not in frames:
-            frames[t.key()] = every.select(F.col(WORLD), F.lit(0).cast("bigint").alias("position"), *[F.lit(None).cast(spark_type(c.type, True)).alias(c.key()) for c in t.columns]).limit(0)
+            frames[t.key()] = every.select(F.col(WORLD), F.lit(0).cast("bigint").alias("__position"), *[F.lit(None).cast(spark_type(c.type, True)).alias(c.key()) for c in t.columns]).limit(0)
     return Worlds(every, frames, every.count() if bad else total)

@@ -43,7 +43,7 @@ class Engine:
             columns.append(c or Column(key, kind, f.nullable and key not in fixed))
         out = df.select(*kept)
         if self.policies.first_row_grouping:
-            out = out.withColumn("position", F.monotonically_increasing_id())
+            out = out.withColumn("__position", F.monotonically_increasing_id())
         self.frames[name.lower()] = out
         self.tables[name.lower()] = declared or Table(name.lower(), tuple(columns), tuple(primary_key))
         return self

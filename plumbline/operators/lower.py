@@ -56,7 +56,7 @@ def _key(name, ascending: bool, nulls_first: bool) -> Column:
 
 class Lowerer:
     """tables: a frame for each table, with a column for each of its names, the keys of `root`
-    and, where row order counts, the column `position`."""
+    and, where row order counts, the column `__position`."""
 
     def __init__(self, spark: SparkSession, tables, exact: bool = False, root: Layer | None = None, positions: bool = False):
         self.spark, self.tables, self.exact = spark, tables, exact
@@ -99,7 +99,7 @@ class Lowerer:
         kept = [F.col(s).alias(c.id) for c, s in zip(rel.cols, rel.sources, strict=True)]
         if not self.positions:
             return Lowered(df.select(*self.root.keys, *kept), list(self.root.keys))
-        return Lowered(df.select(*self.root.keys, *kept, F.col("position").alias(position)), list(self.root.keys), [(position, True, False)])
+        return Lowered(df.select(*self.root.keys, *kept, F.col("__position").alias(position)), list(self.root.keys), [(position, True, False)])
 
     def _filter(self, rel: L.Filter, layer) -> Lowered:
         low = self.relation(rel.input, layer)

@@ -310,7 +310,7 @@ class Binder:
         for left, _ in rel.fds:
             if left <= set(kept):
                 determined = L.closure(set(left), rel.fds)
-                to = frozenset(i for d in determined for i in kept.get(d, ()))
+                to = frozenset(i for d in determined for i in kept.get(d, ())) | {i for i, x in out if x.op != "col" and L.refs(x) <= determined}
                 fds.add((frozenset(min(kept[k]) for k in left), to))
         for ids in kept.values():
             first = min(ids)

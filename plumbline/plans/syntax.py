@@ -173,6 +173,8 @@ class Parser:
         if kind != "number" or not value.isdigit():
             raise unsupported("a limit or offset that is no integer literal")
         self.at += 1
+        if self.peek()[0] == "op" and self.peek()[1] in "+-*/%":
+            raise unsupported("a limit or offset that is no integer literal")
         return int(value)
 
     # -- queries

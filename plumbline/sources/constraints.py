@@ -31,7 +31,7 @@ def outside_domain(df: DataFrame, column: Column) -> DataFrame:
 def duplicates(df: DataFrame, columns, keys=()) -> DataFrame:
     """Keys without NULLs that occur more than once."""
     columns = [c.lower() for c in columns]
-    return df.dropna(subset=columns).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return df.dropna(subset=columns).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
 
 
 def dangling(df: DataFrame, columns, other: DataFrame, other_columns, keys=()) -> DataFrame:
@@ -42,9 +42,11 @@ def dangling(df: DataFrame, columns, other: DataFrame, other_columns, keys=()) -
     return df.dropna(subset=own).join(target, reduce(lambda a, b: a & b, tests), "left_anti")
 
 
-def unordered(df: DataFrame, column: str, consecutive: bool, keys=(), position: str = "position") -> DataFrame:
-    """Rows that are NULL or do not follow the row before."""
+def unordered(df: DataFrame, column: str, consecutive: bool, keys=(), position: str = "__position") -> DataFrame:
+    """Rows that are NULL or do not follow the row before. Rows without positions are taken as read."""
     column = column.lower()
+    if position not in df.columns:
+        df = df.withColumn(position, F.monotonically_increasing_id())
     before = F.lag(column).over(W.partitionBy(*keys).orderBy(position))
     wrong = F.col(column) != F.col("__before") + 1 if consecutive else F.col(column) <= F.col("__before")
     return df.withColumn("__before", before).filter(F.col(column).isNull() | F.coalesce(wrong, F.lit(False)))
