@@ -79,10 +79,6 @@ def entries(data: np.ndarray, offsets: np.ndarray):
     return anchors[at[first]], C.span_hash(prefix, first, last + LENGTH), row[first], first - offsets[row[first]], last - first
 
 
-def window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return C.span_hash(C.prefix_hash(data), start, start + LENGTH)
-
-
 def earliest(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows are the first of their key by (doc, start), and which come after it.
     Rows at the place of the first are neither."""
@@ -187,13 +183,13 @@ def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-_OUT = "kind int, doc long, blob binary"
+_OUT = "kind int, doc long, shard int, blob binary"
 _REPEAT, _OPEN = 0, 1
 
 
-def _out(repeats, open_=()) -> pa.Table:
-    told = [(_REPEAT, d, b) for d, b in repeats] + [(_OPEN, d, b) for d, b in open_]
-    return pa.Table.from_batches([_rows([list(c) for c in zip(*told, strict=True)] or [[], [], []], [pa.int32(), pa.int64(), pa.binary()], ["kind", "doc", "blob"])])
+def _out(shard: int, repeats, open_=()) -> pa.Table:
+    told = [(_REPEAT, d, shard, b) for d, b in repeats] + [(_OPEN, d, shard, b) for d, b in open_]
+    return pa.Table.from_batches([_rows([list(c) for c in zip(*told, strict=True)] or [[], [], [], []], [pa.int32(), pa.int64(), pa.int32(), pa.binary()], ["kind", "doc", "shard", "blob"])])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -235,7 +231,7 @@ def _index(table: pa.Table) -> pa.Table:
     gone = np.concatenate(gone) if gone else rows
     open_ = family.ambiguous()
     told = [(d, b) for d, b in zip(docs, blobs, strict=True) if d is not None]
-    return _out(told + list(_by_doc(gone["doc"], gone["start"], gone["more"])), _by_doc(open_["doc"], open_["start"], open_["more"]))
+    return _out(table.column("shard")[0].as_py(), told + list(_by_doc(gone["doc"], gone["start"], gone["more"])), _by_doc(open_["doc"], open_["start"], open_["more"]))
 
 
 def _first_windows(table: pa.Table) -> pa.Table:
@@ -243,28 +239,36 @@ def _first_windows(table: pa.Table) -> pa.Table:
     rows = _unpack(table.column("blob").to_pylist(), WINDOW)
     _, later = earliest(rows["segment"], rows["doc"], rows["start"])
     gone = rows[later]
-    return _out(_by_doc(gone["doc"], gone["start"], np.zeros(len(gone), np.int64)))
+    gone = gone[np.lexsort((gone["start"], gone["doc"]))]
+    doc, start = gone["doc"], gone["start"].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(gone) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(gone)] - 1 if len(gone) else first
+    return _out(table.column("shard")[0].as_py(), _by_doc(doc[first], start[first], start[last] - start[first]))
 
 
 def _spans(lists) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, _SPAN) for b in lists]) if lists else np.zeros(0, _SPAN)
+    return np.concatenate([np.frombuffer(x["blob"], _SPAN) for x in lists]) if lists else np.zeros(0, _SPAN)
 
 
-def _deal_windows(joined: DataFrame, shards: int) -> DataFrame:
-    """shard, blob: the windows of the open entries of each document."""
+def _deal_windows(joined: DataFrame) -> DataFrame:
+    """shard, blob: the windows of the open entries of each document. Equal windows have the same
+    anchor, so they meet in the shard of their entries, and neighbours stay together."""
 
     def run(batches):
         for batch in batches:
-            parts = []
+            parts, shards = [np.zeros(0, WINDOW)], [np.zeros(0, np.int64)]
             for doc, text, lists in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "blobs")), strict=True):
-                spans, data = _spans(lists), np.frombuffer(text.encode(), np.uint8)
-                start = np.unique(C.ragged(spans["start"].astype(np.int64), spans["more"].astype(np.int64) + 1))
-                start = start[start + LENGTH <= len(data)]
-                part = np.zeros(len(start), WINDOW)
-                part["segment"], part["doc"], part["start"] = window_hashes(data, start), doc, start
-                parts.append(part)
-            rows = np.concatenate(parts) if parts else np.zeros(0, WINDOW)
-            out = list(_dealt(rows, (rows["segment"] % np.uint64(shards)).astype(np.int64)))
+                data = np.frombuffer(text.encode(), np.uint8)
+                prefix = C.prefix_hash(data)
+                for x in lists:
+                    spans = np.frombuffer(x["blob"], _SPAN)
+                    start = C.ragged(spans["start"].astype(np.int64), spans["more"].astype(np.int64) + 1)
+                    start = start[start + LENGTH <= len(data)]
+                    part = np.zeros(len(start), WINDOW)
+                    part["segment"], part["doc"], part["start"] = C.span_hash(prefix, start, start + LENGTH), doc, start
+                    parts.append(part)
+                    shards.append(np.full(len(start), x["shard"], np.int64))
+            out = list(_dealt(np.concatenate(parts), np.concatenate(shards)))
             yield _rows([list(c) for c in zip(*out, strict=True)] or [[], []], [pa.int32(), pa.binary()], ["shard", "blob"])
 
     return joined.mapInArrow(run, "shard int, blob binary")
@@ -283,20 +287,20 @@ def _only(docs: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
 
 def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """doc, text, blobs of the documents that `found` has spans for; and the bitmap of their ids."""
-    grouped = found.groupBy("doc").agg(F.collect_list("blob").alias("blobs"))
+    grouped = found.groupBy("doc").agg(F.collect_list(F.struct("shard", "blob")).alias("blobs"))
     wanted = B.build(found, F.col("doc"))
     return _only(docs, wanted, True).join(grouped, "doc", "left"), wanted
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, blob: the packed spans of repeating windows, some rows per document."""
+    """doc, shard, blob: the packed spans of repeating windows, some rows per document."""
     C.tune(docs.sparkSession)
     shards = max(16, math.ceil(C.text_bytes(docs) / SHARD_BYTES))
     told = C.checkpoint(_deal(docs, shards).groupBy("shard").applyInArrow(_index, _OUT))
-    open_ = told.filter(F.col("kind") == _OPEN).select("doc", "blob")
-    windows = _deal_windows(_with_spans(docs, open_)[0].filter("blobs IS NOT NULL"), shards)
+    open_ = told.filter(F.col("kind") == _OPEN).select("doc", "shard", "blob")
+    windows = _deal_windows(_with_spans(docs, open_)[0].filter("blobs IS NOT NULL"))
     single = C.checkpoint(windows.groupBy("shard").applyInArrow(_first_windows, _OUT))
-    return told.filter(F.col("kind") == _REPEAT).union(single).select("doc", "blob")
+    return told.filter(F.col("kind") == _REPEAT).union(single).select("doc", "shard", "blob")
 
 
 def marked(data_length: int, spans: np.ndarray) -> np.ndarray:
