@@ -171,8 +171,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no benchmark item. Rows are told apart by
     a hash of their text, so that null or repeated ids share no decision."""
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    gone = contaminated(keyed, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__gone"), "left_anti")
+    gone = contaminated(keyed, benchmark).select(F.col("doc_id").alias(C.fresh(docs, "gone"))).distinct()
+    return docs.join(gone, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[gone.columns[0]], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

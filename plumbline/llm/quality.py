@@ -86,8 +86,8 @@ class Machine:
         """Minibatches with AdaGrad; both labels weigh the same."""
         good = label.mean() if len(label) else 0
         if not 0 < good < 1:
-            if len(label):
-                self.bias = 4.0 if good else -4.0
+            self.factor[:] = 0
+            self.bias = 0.0 if not len(label) else 4.0 if good else -4.0
             return self
         share = np.where(label == 1, 0.5 / good, 0.5 / (1 - good))
         rng = np.random.default_rng(SEED)

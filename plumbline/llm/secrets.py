@@ -105,14 +105,15 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "<secre
     C.tune(docs.sparkSession)
     now = C.checkpoint(scan_unseen(docs, ledger))
     whole = now if ledger is None else ledger.select(now.columns).unionByName(now)
-    known = whole.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    blob, spans_of = C.fresh(docs, "found_blob"), C.fresh(docs, "found_spans")
+    known = whole.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans_of))
     names, schema = docs.columns, docs.schema
     address = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
 
     def run(batches):
         for batch in batches:
             old, new = batch.column("text").to_pylist(), []
-            for text, spans in zip(old, batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(old, batch.column(spans_of).to_pylist(), strict=True):
                 if spans:
                     parts, at = [], 0
                     for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
@@ -128,7 +129,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "<secre
                 columns["n_chars"] = pa.array(counted, was.type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return docs.join(known, address == F.col("__blob"), "left").drop("__blob").mapInArrow(run, schema)
+    return docs.join(known, address == known[blob], "left").drop(blob).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
