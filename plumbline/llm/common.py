@@ -13,11 +13,14 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Texts may be long, so it is small.
 ARROW_ROWS = 1000
+#: And bytes, where the session can bound them.
+ARROW_BYTES = 8 << 20
 #: Bytes of text that numpy works on at once; a longer document is a chunk by itself.
 CHUNK_BYTES = 1 << 20
 
@@ -34,6 +37,7 @@ LOWER[65:91] += 32
 
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, and a checkpoint folder where the session has none."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if not spark.sparkContext.getCheckpointDir():
@@ -48,6 +52,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Hold narrow rows on the executors' disks until `unpersist`. The lineage stays, so what a lost
+    executor held is made again; no files are left in the shared folder."""
+    tune(df.sparkSession)
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +68,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(spark_df: DataFrame) -> int:
     """Bytes of all texts: what shard counts are derived from."""
     return int(spark_df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])

@@ -14,7 +14,8 @@ the one with most neighbours over all buckets; links need an exact J_P of at lea
 `THRESHOLD`. Then the nodes of a bucket that are still in different classes are
 compared with each other: buckets of up to `SMALL` by a join, larger ones in blocks
 in which registers rule out pairs by `MARGIN`. So a large group of near copies costs
-about one comparison a node, and no candidate pair across classes is left out.
+about one comparison for each node that the centre links, and no candidate pair across
+classes is left out.
 
 Defined cases: a null or empty text, and one without words, is in a class of its own;
 a null doc_id forms no class (its class_id is null); rows that repeat a doc_id are
@@ -24,6 +25,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +39,7 @@ from . import common as C
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK, BLOCK_BYTES = 64, 512, 8 << 20
 #: Registers that must agree, less than four standard deviations below the threshold.
 MARGIN = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Bits of the filter for documents that need comparing.
@@ -156,8 +159,8 @@ def weighted_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return C.texts(docs).mapInArrow(run, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
+def unpack(blob) -> tuple[np.ndarray, np.ndarray]:
+    n = memoryview(blob).nbytes // 12
     return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, "<u4", n, 8 * n)
 
 
@@ -181,7 +184,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose exact similarity reaches the threshold."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    involved = C.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = B.build(involved, _first_half(F.col("node")), FILTER_BITS)
     sets = weighted_sets(docs, wanted).join(involved, "node", "left_semi")
     sets = C.checkpoint(sets)
@@ -189,11 +192,13 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            near = [similarity(unpack(x), unpack(y)) >= THRESHOLD - 1e-9 for x, y in zip(left, right, strict=True)]
+            left, right = batch.column("left"), batch.column("right")
+            near = [similarity(unpack(x.as_buffer()), unpack(y.as_buffer())) >= THRESHOLD - 1e-9 for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    links = C.checkpoint(joined.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"))
+    involved.unpersist()
+    return links
 
 
 def _first_half(node):
@@ -203,52 +208,108 @@ def _first_half(node):
     return F.conv(swapped, 16, -10).cast("long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 200) -> DataFrame:
     """node and label (its class's least node): labels spread along links and then jump to
     their label's label, until none changes."""
-    both = C.checkpoint(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = C.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = C.checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(most):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
         after = C.checkpoint(spread.join(up, "next").select("node", F.least("next", "up").alias("label"), "old"))
-        changed = after.filter(F.col("label") != F.col("old")).limit(1).count()
         labels = after.drop("old")
-        if not changed:
+        if not after.filter(F.col("label") != F.col("old")).limit(1).count():
             break
+    both.unpersist()
     return labels
 
 
-def candidates(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of nodes that share a small bucket and whose classes differ, but for those with
-    the centre, which were compared; and the members of large buckets of several classes."""
+    the centre, which were compared; the members of large buckets of several classes; and the
+    frame that is kept for both."""
     now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = now.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n"))
     open_ = split.filter((F.col("l0") != F.col("l1")) & (F.col("n") > 2)).select("bucket", F.col("n").alias("size"))
-    now = C.checkpoint(now.select("bucket", "node", "label", "centre").join(open_, "bucket"))
+    now = C.keep(now.select("bucket", "band", "node", "label", "centre").join(open_, "bucket"))
     small = now.filter(F.col("size") <= SMALL)
     a, b = (small.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("centre").alias(f"c{x}")) for x in "ab")
     tested = (F.col("ca") == F.col("a")) | (F.col("ca") == F.col("b"))
     few = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ~tested).select("a", "b")
-    return few, now.filter(F.col("size") > SMALL)
-
-
-def in_blocks(large: DataFrame, registers: DataFrame) -> DataFrame:
-    """The pairs of large buckets that registers do not rule out, found in pairs of blocks of
-    about `BLOCK` nodes, so that no task holds a whole bucket."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = large.join(registers, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = rows.select("bucket", "node", "label", "registers", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return few, now.filter(F.col("size") > SMALL), now
+
+
+class _Sets:
+    """Weighted sets of a block: their shingles one after another, and where each begins."""
+
+    def __init__(self, blobs):
+        self.each = [unpack(b) for b in blobs]
+        self.size = np.array([len(k) for k, _ in self.each], np.int64)
+        self.keys = np.concatenate([k for k, _ in self.each]) if self.each else np.zeros(0, np.uint64)
+        self.ends = np.cumsum(self.size)
+        self.plain = np.array([bool((w == 1).all()) for _, w in self.each])
+
+    def near(self, one: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        """Which of the chosen sets are similar enough to one. Between sets without weights J_P is
+        the Jaccard coefficient, counted for all of them at once."""
+        out, plain = np.zeros(len(chosen), bool), self.plain[chosen] & bool((one[1] == 1).all())
+        if plain.any():
+            which = chosen[plain]
+            at = C.ragged(self.ends[which] - self.size[which], self.size[which])
+            keys = self.keys[at]
+            place = np.minimum(np.searchsorted(one[0], keys), len(one[0]) - 1)
+            total = np.concatenate([[0], np.cumsum(one[0][place] == keys)])
+            ends = np.cumsum(self.size[which])
+            common = total[ends] - total[ends - self.size[which]]
+            out[plain] = common / (len(one[0]) + self.size[which] - common) >= THRESHOLD - 1e-9
+        for k in np.flatnonzero(~plain):
+            out[k] = similarity(one, self.each[chosen[k]]) >= THRESHOLD - 1e-9
+        return out
+
+
+def _root(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def in_blocks(docs: DataFrame, large: DataFrame, registers: DataFrame) -> DataFrame:
+    """Links between classes within large buckets, found in pairs of blocks of about `BLOCK` nodes
+    and `BLOCK_BYTES` of shingles, so that no task holds a whole bucket. A pair is compared in the
+    first of the buckets that it shares, unless registers rule it out; of the links a block's
+    spanning ones are told."""
+    involved = C.checkpoint(large.select("node").distinct())
+    wanted = B.build(involved, _first_half(F.col("node")), FILTER_BITS)
+    sets = weighted_sets(docs, wanted).join(involved, "node", "left_semi")
+    known = C.checkpoint(sets.join(registers, "node"))
+    weight = large.join(known.select("node", F.octet_length("shingles").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = large.join(weight, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = rows.select("bucket", "band", "node", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(known, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf[pdf.own == pdf.low.iloc[0]], pdf[pdf.own == pdf.high.iloc[0]]
-        x, y = (np.stack([np.frombuffer(r, "<u4") for r in p.registers]) if len(p) else np.zeros((0, REGISTERS), "<u4") for p in (low, high))
-        labels, out = high.label.to_numpy(), []
+        band, same = int(pdf.band.iloc[0]), pdf.low.iloc[0] == pdf.high.iloc[0]
+        if not len(low) or not len(high):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = (np.stack([np.frombuffer(r, "<u4") for r in p.registers]) for p in (low, high))
+        own, sets = [unpack(b) for b in low.shingles], _Sets(high.shingles)
+        labels, nodes = high.label.to_numpy(), high.node.to_numpy()
+        out, parent = [], {}
         for k, (node, label) in enumerate(zip(low.node, low.label, strict=True)):
-            near = np.flatnonzero((x[k] == y).sum(1) >= MARGIN * REGISTERS)
-            out += [(min(node, high.node.iloc[j]), max(node, high.node.iloc[j])) for j in near if labels[j] != label]
+            equal = x[k] == y
+            near = (equal.sum(1) >= MARGIN * REGISTERS) & (labels != label)
+            near &= equal.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band
+            if same:
+                near[: k + 1] = False
+            chosen = np.flatnonzero(near)
+            for j in chosen[sets.near(own[k], chosen)]:
+                p, q = _root(parent, label), _root(parent, labels[j])
+                if p != q:
+                    parent[p] = q
+                    out.append((node, nodes[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return keyed.groupBy("bucket", "low", "high").applyInPandas(compare, "a binary, b binary")
@@ -260,24 +321,29 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = C.checkpoint(sign(docs))
     full = signed.filter(F.length("node") > 0)
     nodes = full.groupBy("node").agg(F.first("buckets").alias("buckets"))
-    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
+    spread = nodes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = spread.join(shared, "bucket")
-    held = C.checkpoint(held)
+    held = C.keep(spread.join(shared, "bucket"))
     weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
     centre = held.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre"))
-    members = C.checkpoint(held.join(centre, "bucket").select("bucket", "node", "centre"))
-    pairs = members.filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = C.checkpoint(verify(docs, C.checkpoint(pairs)))
+    members = C.checkpoint(held.join(centre, "bucket").select("bucket", "band", "node", "centre"))
+    held.unpersist()
+    pairs = C.keep(members.filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    links = verify(docs, pairs)
+    pairs.unpersist()
     labels = components(links)
-    few, large = candidates(members, labels)
-    registers = full.groupBy("node").agg(F.first("registers").alias("registers"))
-    more = few.union(in_blocks(large, registers)) if large.limit(1).count() else few
-    more = C.checkpoint(more.distinct().join(links, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = C.checkpoint(verify(docs, more))
-        if found.limit(1).count():
-            labels = components(links.union(found))
+    few, large, now = candidates(members, labels)
+    few = C.keep(few.distinct().join(links, ["a", "b"], "left_anti"))
+    found = [links]
+    if few.limit(1).count():
+        found.append(verify(docs, few))
+    if large.limit(1).count():
+        registers = full.groupBy("node").agg(F.first("registers").alias("registers"))
+        found.append(C.checkpoint(in_blocks(docs, large, registers)))
+    for kept in (few, now):
+        kept.unpersist()
+    if len(found) > 1:
+        labels = components(reduce(DataFrame.union, found))
     named = signed.select("doc_id", "node").join(labels, "node", "left")
     # texts without words, and rows without an id, are their own classes
     alone = F.concat(F.lit("doc "), F.col("doc_id").cast("string")).cast("binary")
@@ -292,8 +358,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, of which the first document of each class stays.
     Rows without a doc_id stay; of rows that repeat a doc_id and text one stays."""
     found = C.checkpoint(classes(docs))
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
+    kept = docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
     again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
