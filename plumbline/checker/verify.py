@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import time
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -64,13 +66,14 @@ class Session:
     def __init__(self, spark: SparkSession, schema: Schema, options: Options):
         self.spark, self.schema, self.options = spark, schema, options
         self.kept: dict[tuple, Wd.Worlds] = {}
+        self.late = False
 
     def verify(self, left: str, right: str, metrics: Metrics | None = None) -> Verdict:
         metrics = metrics or Metrics()
         try:
             self.options.validate()
             self.schema.validate()
-            return self._verify(left, right, metrics)
+            return self._limited(lambda: self._verify(left, right, metrics))
         except QueryError as e:
             return Unsupported(e.reason, e.message)
         except RecursionError:
@@ -80,14 +83,41 @@ class Session:
         began = time.perf_counter()
         out = work()
         metrics.seconds[name] = metrics.seconds.get(name, 0) + time.perf_counter() - began
+        if self.late:
+            raise QueryError(Reason.SOLVER, "the time is over")
         return out
 
-    def _bind(self, text: str, bound: float) -> Bound:
-        return Binder(self.schema, self.options.policies, bound, self.options.intermediate_rows).bind(parse(text))
+    def _limited(self, work):
+        """The work's result, or a refusal if its jobs take too long together."""
+        sc, self.late = self.spark.sparkContext, False
+        group = f"verify-{uuid.uuid4()}"
+
+        def stop():
+            self.late = True
+            sc.cancelJobGroup(group)
+
+        timer = threading.Timer(self.options.timeout_seconds, stop)
+        sc.setJobGroup(group, "bounded equivalence")
+        timer.start()
+        try:
+            return work()
+        except QueryError:
+            raise
+        except Exception:
+            if self.late:
+                raise QueryError(Reason.SOLVER, "the time is over") from None
+            raise
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def _bind(self, text: str, bound: float, prefix: str) -> Bound:
+        """Bound with ids that start with `prefix`, so that two queries share none."""
+        return Binder(self.schema, self.options.policies, bound, self.options.intermediate_rows, prefix).bind(parse(text))
 
     def _verify(self, left: str, right: str, metrics: Metrics) -> Verdict:
         o = self.options
-        a, b = (self._timed(metrics, "bind", lambda t=t: self._bind(t, o.rows)) for t in (left, right))
+        a, b = (self._timed(metrics, "bind", lambda t=t, p=p: self._bind(t, o.rows, p)) for t, p in ((left, "l"), (right, "r")))
         if a.types != b.types and [t for t in a.types] != [t for t in b.types]:
             empty = {t.key(): () for t in self.schema.tables}
             metrics.add("empty_witness")

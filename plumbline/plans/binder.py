@@ -47,13 +47,13 @@ class _Scope:
 class Binder:
     """Tables come from `schema`; `bound` is the number of rows that each holds at most."""
 
-    def __init__(self, schema, policies: Policies | None = None, bound: float = math.inf, max_rows: float = math.inf):
+    def __init__(self, schema, policies: Policies | None = None, bound: float = math.inf, max_rows: float = math.inf, prefix: str = "c"):
         self.schema, self.policies = schema, policies or Policies()
-        self.bound, self.max_rows, self.count = bound, max_rows, 0
+        self.bound, self.max_rows, self.count, self.prefix = bound, max_rows, 0, prefix
 
     def new(self) -> str:
         self.count += 1
-        return f"c{self.count}"
+        return f"{self.prefix}{self.count}"
 
     def bind(self, query: S.Query) -> Bound:
         if self.policies.ignore_top_level_order and query.limit is None and not query.offset:

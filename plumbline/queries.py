@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -118,12 +119,14 @@ _add("exists_in_projection", "SELECT c_custkey, EXISTS (SELECT 1 AS one FROM ord
 _add("having_subquery", "SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey HAVING MAX(o_totalprice) >= (SELECT MAX(o_totalprice) FROM orders) AND o_custkey IN (SELECT c_custkey FROM customer)", "SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1 HAVING max(o_totalprice) >= (SELECT max(o_totalprice) FROM orders)")
 
 
-def session_engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark).read_parquet(sf_dir, KEYS)
+def session_engine(spark: SparkSession, sf_dir: str, texts: tuple[str, ...] = ()) -> Engine:
+    """An engine with the tables that the texts mention, or all."""
+    words = {w for t in texts for w in re.findall(r"\w+", t.lower())}
+    return Engine(spark).read_parquet(sf_dir, KEYS, [t for t in KEYS if not texts or t in words])
 
 
 def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: session_engine(spark, sf_dir).sql(text)
+    return lambda spark, sf_dir: session_engine(spark, sf_dir, (text, "region")).sql(text)
 
 
 QUERIES = {name: _runner(text) for name, (text, _) in SQL.items()}

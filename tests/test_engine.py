@@ -10,7 +10,7 @@ from plumbline.functions.typing import Policies
 from plumbline.operators.compare import bag_difference, list_difference
 from plumbline.plans.errors import QueryError
 from plumbline.sources.constraints import violations
-from plumbline.sources.corpus import read_pairs
+from plumbline.sources.corpus import read_pairs, schema_of
 from plumbline.sources.schema import Check, Column, ForeignKey, Increasing, PrimaryKey, Schema, Table, Unique
 
 
@@ -111,7 +111,22 @@ def test_corpus(spark, tmp_path):
     path.write_text(json.dumps(record) + "\n")
     found = read_pairs(spark, str(path)).collect()
     assert found[0].file == "a.sql" and found[0]["pair"] == record["pair"]
-    assert json.loads(found[0].schema)["ITEMS"]["ID"] == "INT"
+    schema = schema_of(found[0].schema, found[0].constraint)
+    assert [c.type for c in schema.tables[0].columns] == ["int", "enum"] and schema.keys(schema.tables[0]) == [("id",)]
+
+
+def test_corpus_constraints():
+    made = schema_of(json.dumps({"T": {"A": "INT", "B": "DATE", "C": "enum,X,NULL,Y"}, "U": {"A": "INT"}}), json.dumps([
+        {"foreign": [{"value": "T__A"}, {"value": "U__A"}]}, {"inc": {"value": "U__A"}}, {"consec": "U__A"}, {"gt": ["T__A", 3]}, {"between": [{"value": "T__B"}, {"date": "2020-01-01"}, {"date": "2020-02-01"}]},
+        {"in": [{"value": "T__C"}, [{"literal": "X"}, "Y"]]}, {"imply": [{"eq": ["T__A", 1]}, {"neq": ["U__A", 2]}]},
+    ]))
+    assert made.tables[0].columns[2].domain == ("X", "Y")
+    checks = [c.predicate for c in made.constraints if isinstance(c, Check)]
+    assert checks == ["t.a > 3", "t.b BETWEEN DATE '2020-01-01' AND DATE '2020-02-01'", "t.c IN ('X', 'Y')", "implies(t.a = 1, u.a <> 2)"]
+    assert made.constraints[:3] == (ForeignKey("t", ("a",), "u", ("a",)), Increasing("u", "a"), Increasing("u", "a", True))
+    for bad in ([{"nope": []}], [{"gt": ["T__A", 1.5]}], [{}], [{"primary": ["T__A", "U__A"]}]):
+        with pytest.raises(QueryError):
+            schema_of(json.dumps({"T": {"A": "INT"}, "U": {"A": "INT"}}), json.dumps(bad))
 
 
 def test_streams(spark, tmp_path):

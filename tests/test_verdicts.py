@@ -142,3 +142,34 @@ def test_limits(spark):
     v = Verifier(spark, Options(worlds=3)).verify(F1, "SELECT id, value, flag FROM items", "SELECT id, value, flag FROM items WHERE flag")
     assert v.reason == Reason.COMPLEXITY_LIMIT
     assert Verifier(spark, Options(rows=0)).verify(F3, "SELECT id FROM items", "SELECT id FROM items").reason == Reason.INVALID_SCHEMA
+
+
+def test_time_limit(spark):
+    v = Verifier(spark, Options(timeout_seconds=0.05)).verify(F1, "SELECT id, value, flag FROM items WHERE value > 3", "SELECT id, value, flag FROM items WHERE NOT value <= 3")
+    assert v.reason == Reason.SOLVER and v.reason.is_resource_limit
+
+
+@pytest.mark.parametrize("kind, literal", [("text", "'b'"), ("date", "DATE '2020-02-29'"), ("time", "TIME '10:30:00'"), ("num", "2.5")])
+def test_domains_of_all_types(spark, kind, literal):
+    schema = Schema((Table("domain_values", (C("id", "int", False), C("value", kind))),))
+    assert isinstance(Verifier(spark).verify(schema, f"SELECT id FROM domain_values WHERE value = {literal}", f"SELECT id FROM domain_values WHERE {literal} = value"), Equivalent)
+    assert isinstance(Verifier(spark).verify(schema, f"SELECT id FROM domain_values WHERE value <> {literal}", "SELECT id FROM domain_values"), Different)
+    assert isinstance(Verifier(spark).verify(schema, "SELECT MIN(value) AS m FROM domain_values", "SELECT MAX(value) AS m FROM domain_values"), Different)
+
+
+def test_three_tables(spark):
+    schema = Schema((
+        Table("customers", (C("id", "int"), C("active", "bool")), ("id",)), Table("orders", (C("id", "int"), C("customer_id", "int"), C("total", "int")), ("id",)),
+    ))
+    left = "SELECT o.id FROM customers c JOIN orders o ON c.id = o.customer_id WHERE c.active"
+    assert isinstance(Verifier(spark).verify(schema, left, "SELECT o.id FROM orders o JOIN customers c ON o.customer_id = c.id WHERE NOT (NOT c.active)"), Equivalent)
+    assert isinstance(Verifier(spark).verify(schema, left, "SELECT o.id FROM orders o JOIN customers c ON o.customer_id = c.id"), Different)
+
+
+def test_scalar_functions(spark):
+    schema = Schema((Table("t", (C("id", "int", False), C("name", "text"), C("amount", "num"), C("day", "date"))),))
+    v = Verifier(spark, Options(rows=1))
+    assert isinstance(v.verify(schema, "SELECT ROUND(amount, 1) AS r FROM t", "SELECT TRUNCATE(amount, 1) AS r FROM t"), (Different, Unsupported))
+    assert isinstance(v.verify(schema, "SELECT ROUND(amount) AS r FROM t", "SELECT TRUNCATE(amount, 0) AS r FROM t"), Different)
+    assert isinstance(v.verify(schema, "SELECT id FROM t WHERE name LIKE 'a%'", "SELECT id FROM t WHERE name LIKE '%a'"), Different)
+    assert isinstance(v.verify(schema, "SELECT id FROM t WHERE day + 1 > DATE '2020-01-01'", "SELECT id FROM t WHERE day > DATE '2020-01-01'"), Different)
