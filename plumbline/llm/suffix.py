@@ -350,5 +350,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(C.table(spark, sf_dir, "documents"), digest=True)
 
 
+#: All windows by brute force, on hexadecimal texts: byte p is digits 2p + 1 and 2p + 2.
+_ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+marked AS (
+  SELECT b.doc_id, p, x, coalesce(p - max(later.i) OVER (PARTITION BY b.doc_id ORDER BY p) < 100, false) AS gone
+  FROM b LEFT JOIN later ON b.doc_id = later.doc_id AND b.p = later.i),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+told AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT d.doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""
+
 QUERIES = {"op1_suffix_dedup": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_suffix_dedup": _ORACLE}

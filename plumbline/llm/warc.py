@@ -102,9 +102,11 @@ def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
 
 
 def decayed(stored: DataFrame, every: int = 101) -> DataFrame:
-    """A replica with planted decay: in each record whose key's xxhash64 is a multiple of
-    `every`, the last byte but four is another. For audits of a table that has no replica."""
-    hit = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(every)) == 0, F.lit(False))
+    """A replica with planted decay: in each record whose key has a SHA-256 of which the first seven
+    digits are a multiple of `every`, the last byte but four is another. For audits of a table that
+    has no replica."""
+    digits = F.substring(F.sha2(F.col("key").cast("string").cast("binary"), 256), 1, 7)
+    hit = F.coalesce(F.conv(digits, 16, 10).cast("long") % every == 0, F.lit(False))
     return stored.select("key", F.when(hit, F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit("\x00"), F.expr("right(record, 4)"))).otherwise(F.col("record")).alias("record"))
 
 
@@ -119,5 +121,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(key.alias("page_id"), "offset", F.col("bytes").alias("n_bytes"), F.col("records").alias("n_records"), F.col("hash").alias("leaf_hash"), F.coalesce("hit", F.lit(False)).alias("corrupt"))
 
 
+#: The same without a tree: hashes of all keys, running offsets, and keys that the rule decays.
+_ORACLE = r"""
+WITH content AS (SELECT page_id::BIGINT AS key, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+stored AS (
+  SELECT key, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:sha256:' || sha256(coalesce(key::VARCHAR, '') || chr(10) || url) || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(html) || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10)
+    || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM content),
+hashed AS (
+  SELECT key, octet_length(encode(record)) AS bytes, sha256(record) AS digest,
+    coalesce(upper(lpad(to_hex((key::HUGEINT + 9223372036854775808)::UBIGINT), 16, '0')), '') AS path,
+    coalesce(('0x' || substr(sha256(key::VARCHAR), 1, 7))::BIGINT % 101 = 0, false) AS corrupt FROM stored),
+keyed AS (
+  SELECT key, path, any_value(corrupt) AS corrupt, sum(bytes)::BIGINT AS n_bytes, count(*) AS n_records,
+    sum(('0x' || substr(digest, 1, 15))::HUGEINT) AS h0, sum(('0x' || substr(digest, 16, 15))::HUGEINT) AS h1,
+    sum(('0x' || substr(digest, 31, 15))::HUGEINT) AS h2, sum(('0x' || substr(digest, 46, 15))::HUGEINT) AS h3 FROM hashed GROUP BY key, path)
+SELECT key AS page_id, (sum(n_bytes) OVER (ORDER BY path) - n_bytes)::BIGINT AS "offset", n_bytes, n_records,
+  sha256(path || ':' || h0 || ':' || h1 || ':' || h2 || ':' || h3 || ':' || n_records) AS leaf_hash, corrupt FROM keyed"""
+
 QUERIES = {"op9_merkle_audit": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_merkle_audit": _ORACLE}

@@ -95,8 +95,10 @@ def test_templates_and_slots(spark):
     assert found[1].exact and not found[2].exact and found[2].n_slots >= 5
 
 
-def test_licenses_against_sql(spark, duck):
-    same_rows(licenses.query(spark, SMALL), duck.sql(licenses.ORACLES["op3_license_scan"]))
+@pytest.mark.parametrize("module", [suffix, licenses, warc])
+def test_against_sql(spark, duck, module):
+    for name, sql in module.ORACLES.items():
+        same_rows(module.QUERIES[name](spark, SMALL), duck.sql(sql))
 
 
 def test_license_texts(spark):
