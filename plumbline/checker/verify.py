@@ -6,6 +6,7 @@ import contextlib
 import threading
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -39,6 +40,12 @@ class Verifier:
         metrics = Metrics()
         return Session(self.spark, schema, self.options).verify(left, right, metrics), metrics
 
+    def verify_many(self, cases: list[tuple[Schema, str, str]], threads: int = 8) -> list[Verdict]:
+        """Verdicts in the order of the cases, some at a time: small searches leave most of a cluster
+        idle, so that others can run beside them."""
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(lambda c: Session(self.spark, c[0], self.options).verify(c[1], c[2]), cases))
+
     def session(self, schema: Schema) -> Session:
         """For many pairs over one schema: candidate databases are kept while their domains serve."""
         return Session(self.spark, schema, self.options)
@@ -62,9 +69,26 @@ class Verifier:
         return dict(sorted(out.items()))
 
 
+#: Estimated databases up to which a search is too small to be worth several partitions, adaptive
+#: planning or compiled code.
+SMALL = 20_000
+_SMALL_CONF = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.timeType.enabled": "true"}
+
+
+def _light(spark: SparkSession) -> SparkSession:
+    """A session over the same cluster whose own settings suit small data."""
+    out = spark.newSession()
+    for key, value in _SMALL_CONF.items():
+        with contextlib.suppress(Exception):  # a setting that this Spark does not have
+            out.conf.set(key, value)
+    out.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return out
+
+
 class Session:
     def __init__(self, spark: SparkSession, schema: Schema, options: Options):
-        self.spark, self.schema, self.options = spark, schema, options
+        self.large, self.schema, self.options = spark, schema, options
+        self.spark = self.light = _light(spark)
         self.kept: dict[tuple, Wd.Worlds] = {}
         self.late = False
 
@@ -89,7 +113,7 @@ class Session:
 
     def _limited(self, work):
         """The work's result, or a refusal if its jobs take too long together."""
-        sc, self.late = self.spark.sparkContext, False
+        sc, self.late = self.large.sparkContext, False
         group = f"verify-{uuid.uuid4()}"
 
         def stop():
@@ -118,6 +142,11 @@ class Session:
     def _verify(self, left: str, right: str, metrics: Metrics) -> Verdict:
         o = self.options
         a, b = (self._timed(metrics, "bind", lambda t=t, p=p: self._bind(t, o.rows, p)) for t, p in ((left, "l"), (right, "r")))
+        for q in (a, b):
+            metrics.add("relations", sum(1 for _ in _nodes(q.rel)))
+            metrics.add("subqueries", sum(1 for n in _nodes(q.rel) for x in n.exprs() for _ in L.subqueries(x)))
+            if _work(q.rel) > WORK * o.intermediate_rows:
+                raise QueryError(Reason.COMPLEXITY_LIMIT, "the query's nested work is too large")
         if a.types != b.types and [t for t in a.types] != [t for t in b.types]:
             empty = {t.key(): () for t in self.schema.tables}
             metrics.add("empty_witness")
@@ -154,6 +183,7 @@ class Session:
         from .domains import domain
 
         key = (symmetric, frozenset(used), tuple((t.key(), c.key(), repr(domain(classes, t.key(), c.key(), self.options.rows, self.schema.nullable(t, c)))) for t in self.schema.tables for c in t.columns))
+        self.spark = self.light if Wd.estimate(self.schema, classes, used, self.options.rows) <= SMALL else self.large
         if key not in self.kept:
             self.kept[key] = Wd.build(self.spark, self.schema, classes, used, self.options.rows, symmetric, self.options.worlds)
         return self.kept[key]
@@ -190,7 +220,7 @@ class Session:
 
     def _replayed(self, tables: dict, left: str, right: str, a: Bound, b: Bound, ordered: bool, metrics: Metrics):
         """Both queries on one database, evaluated plainly."""
-        frames = {}
+        frames, self.spark = {}, self.light
         for t in self.schema.tables:
             kind = T.StructType([T.StructField("__position", T.LongType())] + [T.StructField(c.key(), spark_type(c.type, True)) for c in t.columns])
             frames[t.key()] = self.spark.createDataFrame([(k, *row) for k, row in enumerate(tables[t.key()])], kind)
@@ -214,6 +244,29 @@ def _positional(rel: L.Rel) -> bool:
     return any(map(_positional, rel.inputs())) or any(_positional(s.info) for x in rel.exprs() for s in L.subqueries(x))
 
 
+#: Rows of work that a query may need, for each intermediate row that it may have.
+WORK = 64
+
+
+def _nodes(rel: L.Rel):
+    """The relation and all below it, subqueries included."""
+    yield rel
+    for i in rel.inputs():
+        yield from _nodes(i)
+    for x in rel.exprs():
+        for s in L.subqueries(x):
+            yield from _nodes(s.info)
+
+
+def _work(rel: L.Rel) -> float:
+    """Rows that evaluation makes, with subqueries once for each row that they stand at."""
+    rows = max([1, *(i.max_rows for i in rel.inputs())])
+    if isinstance(rel, L.Join):
+        rows = max(1, rel.left.max_rows * rel.right.max_rows)
+    inner = sum(_work(s.info) for x in rel.exprs() for s in L.subqueries(x))
+    return rel.max_rows + rows * inner + sum(map(_work, rel.inputs()))
+
+
 def _tables(rel: L.Rel) -> set[str]:
     out = {rel.table} if isinstance(rel, L.Scan) else set()
     for i in rel.inputs():

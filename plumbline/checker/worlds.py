@@ -30,6 +30,11 @@ class Worlds:
     count: int
 
 
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """0 .. n - 1, in partitions of some thousands."""
+    return spark.range(0, n, 1, max(1, min(spark.sparkContext.defaultParallelism, n // 5000)))
+
+
 def _states(spark: SparkSession, schema: Schema, table: Table, domains: dict[str, list], bound: int, symmetric: bool, most: int) -> tuple[DataFrame, int]:
     """__s, position and columns of all rows of all states; and the number of states."""
     sizes = [len(domains[c.key()]) for c in table.columns]
@@ -40,7 +45,7 @@ def _states(spark: SparkSession, schema: Schema, table: Table, domains: dict[str
     starts = [sum(rows**j for j in range(k)) for k in range(bound + 2)]
     state = F.col("__s")
     taken = reduce(lambda a, k: F.when(state >= starts[k], F.lit(k)).otherwise(a), range(1, bound + 1), F.lit(0))
-    every = spark.range(total).select(F.col("id").alias("__s")).withColumn("__n", taken)
+    every = _numbers(spark, total).select(F.col("id").alias("__s")).withColumn("__n", taken)
     first = reduce(lambda a, k: F.when(F.col("__n") == k, F.lit(starts[k])).otherwise(a), range(1, bound + 1), F.lit(0))
     every = every.withColumn("__r", state - first)
     # position p of a state of n rows is the digit p of its number, the first the most significant
@@ -78,6 +83,16 @@ def _only(constraint, schema: Schema) -> set[str]:
     return {constraint.table.lower()}
 
 
+def estimate(schema: Schema, classes: Classes, used: set[str], bound: int) -> float:
+    """An upper bound on the number of databases, before constraints."""
+    total = 1.0
+    for t in schema.tables:
+        if t.key() in used:
+            rows = math.prod(len(domain(classes, t.key(), c.key(), bound, schema.nullable(t, c))) for c in t.columns)
+            total *= sum(float(rows) ** k for k in range(bound + 1))
+    return total
+
+
 def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str], bound: int, symmetric: bool, most: int) -> Worlds:
     """All databases with at most `bound` rows in each table that the queries or constraints use."""
     for c in schema.constraints:
@@ -104,7 +119,7 @@ def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str],
     total = math.prod(sizes)
     if total > most:
         raise too_complex(f"{total} candidate databases")
-    every = spark.range(max(total, 1)).select(F.col("id").alias(WORLD)) if tables else spark.range(1).select(F.col("id").alias(WORLD))
+    every = _numbers(spark, max(total, 1)).select(F.col("id").alias(WORLD))
     frames, step = {}, 1
     for t, rows, n in zip(tables, states, sizes, strict=True):
         state = (F.floor(F.col(WORLD) / step) % n).cast("bigint")

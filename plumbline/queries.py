@@ -223,8 +223,8 @@ def _verdict(v) -> str:
 
 
 def _verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verifier = Verifier(spark)
-    return spark.createDataFrame([(name, _verdict(verifier.verify(schema, a, b))) for name, schema, a, b, _ in _PAIRS], "pair string, verdict string")
+    found = Verifier(spark).verify_many([(schema, a, b) for _, schema, a, b, _ in _PAIRS])
+    return spark.createDataFrame([(p[0], _verdict(v)) for p, v in zip(_PAIRS, found, strict=True)], "pair string, verdict string")
 
 
 def _verify_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,15 @@ def test_scalar_functions(spark):
     assert isinstance(v.verify(schema, "SELECT ROUND(amount) AS r FROM t", "SELECT TRUNCATE(amount, 0) AS r FROM t"), Different)
     assert isinstance(v.verify(schema, "SELECT id FROM t WHERE name LIKE 'a%'", "SELECT id FROM t WHERE name LIKE '%a'"), Different)
     assert isinstance(v.verify(schema, "SELECT id FROM t WHERE day + 1 > DATE '2020-01-01'", "SELECT id FROM t WHERE day > DATE '2020-01-01'"), Different)
+
+
+def test_many_at_once(spark):
+    cases = EQUIVALENT[:4] + DIFFERENT[:4]
+    found = Verifier(spark).verify_many(cases, 4)
+    assert [type(v) for v in found] == [Equivalent] * 4 + [Different] * 4
+
+
+def test_work_limit(spark):
+    text = "SELECT id FROM items WHERE EXISTS (SELECT 1 AS one FROM items j, items k WHERE EXISTS (SELECT 1 AS one FROM items l, items m WHERE l.id = j.id))"
+    v = Verifier(spark, Options(rows=9, intermediate_rows=90)).verify(F3, text, "SELECT id FROM items")
+    assert v.reason == Reason.COMPLEXITY_LIMIT
