@@ -52,6 +52,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Narrow rows in one partition of a frame that is checkpointed again and again.
+NARROW_ROWS = 250_000
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A frame of about so many narrow rows in as few partitions as hold them well, so that small
+    frames don't become many files."""
+    return df.coalesce(max(1, -(-rows // NARROW_ROWS)))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hold narrow rows on the executors' disks until `unpersist`. The lineage stays, so what a lost
     executor held is made again; no files are left in the shared folder."""
@@ -65,7 +75,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns; a null text becomes empty."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def fresh(df: DataFrame, name: str) -> str:
