@@ -1,4 +1,4 @@
-"""The reference queries: for each its text in the dialect, and the same in DuckDB's SQL."""
+"""Queries over the star schema: for each its text in the dialect, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
