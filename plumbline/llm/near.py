@@ -212,12 +212,13 @@ def components(links: DataFrame, most: int = 200) -> DataFrame:
     """node and label (its class's least node): labels spread along links and then jump to
     their label's label, until none changes."""
     both = C.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = C.checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    n = both.count()
+    labels = C.checkpoint(C.narrow(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), n))
     for _ in range(most):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        after = C.checkpoint(spread.join(up, "next").select("node", F.least("next", "up").alias("label"), "old"))
+        after = C.checkpoint(C.narrow(spread.join(up, "next").select("node", F.least("next", "up").alias("label"), "old"), n))
         labels = after.drop("old")
         if not after.filter(F.col("label") != F.col("old")).limit(1).count():
             break
@@ -280,7 +281,7 @@ def in_blocks(docs: DataFrame, large: DataFrame, registers: DataFrame) -> DataFr
     and `BLOCK_BYTES` of shingles, so that no task holds a whole bucket. A pair is compared in the
     first of the buckets that it shares, unless registers rule it out; of the links a block's
     spanning ones are told."""
-    involved = C.checkpoint(large.select("node").distinct())
+    involved = C.keep(large.select("node").distinct())
     wanted = B.build(involved, _first_half(F.col("node")), FILTER_BITS)
     sets = weighted_sets(docs, wanted).join(involved, "node", "left_semi")
     known = C.checkpoint(sets.join(registers, "node"))
@@ -326,7 +327,7 @@ def classes(docs: DataFrame) -> DataFrame:
     held = C.keep(spread.join(shared, "bucket"))
     weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
     centre = held.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre"))
-    members = C.checkpoint(held.join(centre, "bucket").select("bucket", "band", "node", "centre"))
+    members = C.checkpoint(C.narrow(held.join(centre, "bucket").select("bucket", "band", "node", "centre"), held.count()))
     held.unpersist()
     pairs = C.keep(members.filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
     links = verify(docs, pairs)
