@@ -601,11 +601,23 @@ class Binder:
         if scopes[0].aggs is None:
             raise unsupported("an aggregate here")
         agg = self._agg_call(name, distinct, e.args, scopes, ctes, depth)
-        for i, known in scopes[0].aggs:
-            if known == agg:
-                return X("col", agg.type, (), i)
-        scopes[0].aggs.append((self.new(), agg))
-        return X("col", agg.type, (), scopes[0].aggs[-1][0])
+        return self._mean(agg, lambda a: self._collected(scopes[0].aggs, a))
+
+    def _collected(self, calls: list, call) -> X:
+        """The column of an aggregate or window call, which is made once however often it stands."""
+        for i, known in calls:
+            if known == call:
+                return X("col", call.type, (), i)
+        calls.append((self.new(), call))
+        return X("col", call.type, (), calls[-1][0])
+
+    @staticmethod
+    def _mean(call, made) -> X:
+        """The call's column; a mean is the quotient of a sum and a count."""
+        if call.name != "avg":
+            return made(call)
+        total = made(replace(call, name="sum", type="num" if call.args[0].type == "num" else "int"))
+        return X("div", "num", (T.numeric(total), T.numeric(made(replace(call, name="count", type="int")))))
 
     def _window(self, e, scopes, ctes, depth) -> X:
         if scopes[0].windows is None:
@@ -636,11 +648,7 @@ class Binder:
             win = Win(info, (x,), False, part, tuple(order), x.type)
         else:
             raise unsupported(f"{info}() over a window")
-        for i, known in scopes[0].windows:
-            if known == win:
-                return X("col", win.type, (), i)
-        scopes[0].windows.append((self.new(), win))
-        return X("col", win.type, (), scopes[0].windows[-1][0])
+        return self._mean(win, lambda w: self._collected(scopes[0].windows, w))
 
 
 def _col(c: Col) -> X:

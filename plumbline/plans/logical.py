@@ -246,19 +246,50 @@ def closure(ids: set[str], fds: set) -> set[str]:
     return out
 
 
+_MIRRORED = {"gt": "lt", "ge": "le"}
+_OPPOSITE = {"lt": "ge", "ge": "lt", "gt": "le", "le": "gt"}
+
+
+def normal(x: X) -> X:
+    """An expression of the same value, in three-valued logic too, with fewer ways to be said:
+    no > and >=, no NOT above comparisons, AND and OR, and no nested AND or OR."""
+    x = X(x.op, x.type, tuple(map(normal, x.args)), x.info)
+    if x.op == "ne":
+        return X("not", "bool", (X("eq", "bool", x.args),))
+    if x.op == "not":
+        a = x.args[0]
+        if a.op == "not":
+            return a.args[0]
+        if a.op in _OPPOSITE:
+            return normal(X(_OPPOSITE[a.op], "bool", a.args))
+        if a.op in ("and", "or"):
+            return normal(X("or" if a.op == "and" else "and", "bool", tuple(X("not", "bool", (b,)) for b in a.args)))
+    if x.op in _MIRRORED:
+        return X(_MIRRORED[x.op], "bool", x.args[::-1])
+    if x.op in ("and", "or"):
+        flat = [b for a in x.args for b in (a.args if a.op == x.op else (a,))]
+        flat = list(dict.fromkeys(flat))
+        return flat[0] if len(flat) == 1 else X(x.op, "bool", tuple(flat))
+    return x
+
+
 def canonical(rel: Rel) -> str:
-    """A text that is equal for plans which differ only in ids and names."""
+    """A text that is equal for plans which differ only in ids, names, the order of operands that
+    commute, and what `normal` settles."""
     names: dict[str, str] = {}
 
     def ident(i: str) -> str:
         return names.setdefault(i, f"#{len(names)}")
 
     def expr(x: X) -> str:
+        return told(normal(x))
+
+    def told(x: X) -> str:
         if x.op == "col":
             return ident(x.info)
         inner = node(x.info) if x.op in SUBQUERIES else repr(x.info)
-        args = [expr(a) for a in x.args]
-        if x.op in ("and", "or", "eq", "same") and x.op not in SUBQUERIES:
+        args = [told(a) for a in x.args]
+        if x.op in ("and", "or", "eq", "same", "add", "mul"):
             args.sort()
         return f"{x.op}:{x.type}({','.join(args)};{inner})"
 
@@ -266,6 +297,8 @@ def canonical(rel: Rel) -> str:
         return ",".join(f"{expr(o.expr)}{o.ascending}{o.nulls_first}" for o in os)
 
     def node(r: Rel) -> str:
+        while isinstance(r, Filter) and isinstance(r.input, Filter):
+            r = Filter(r.cols, r.fds, r.max_rows, r.input.input, X("and", "bool", (r.input.predicate, r.predicate)))
         below = [node(i) for i in r.inputs()]
         if isinstance(r, Scan):
             own = r.table + ",".join(f"{ident(c.id)}={s}" for c, s in zip(r.cols, r.sources, strict=True))
