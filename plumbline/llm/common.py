@@ -8,6 +8,7 @@ table gives an empty result with the same schema.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -36,13 +37,16 @@ LOWER[65:91] += 32
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder where the session has none."""
+    """Small Arrow batches, and a checkpoint folder where the session has none: beside the warehouse,
+    or on one machine a temporary one."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     return spark
 
 

@@ -222,6 +222,8 @@ def components(links: DataFrame, most: int = 200) -> DataFrame:
         labels = after.drop("old")
         if not after.filter(F.col("label") != F.col("old")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"classes did not settle in {most} rounds")
     both.unpersist()
     return labels
 
