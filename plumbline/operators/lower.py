@@ -355,21 +355,15 @@ class Lowerer:
         """Column of the subquery's frame -> column of the outer frame, for its keys."""
         return {k: values.get(k, k) for k in sub.keys}
 
-    def _grouped_scalar(self, low: Lowered, x: X, layer: Layer) -> tuple[Lowered, str] | None:
-        """A scalar aggregate that is correlated by equalities in its WHERE only: the inner relation
-        grouped by its side of them, joined to the outer. None where that is not its form."""
-        top = x.info
-        if not (isinstance(top, L.Project) and isinstance(top.input, L.Aggregate) and isinstance(top.input.input, L.Filter)):
+    def _equated(self, where: L.Filter) -> tuple[Lowered, list[tuple[X, X]]] | None:
+        """A filter that is correlated by equalities only: the relation without them, and the inner
+        and outer side of each. None where that is not its form."""
+        if not isinstance(where, L.Filter) or L.free(where.input):
             return None
-        agg, where = top.input, top.input.input
-        if agg.grouped or agg.keys or agg.firsts or L.free(where.input):
-            return None
-        own = L.made(where.input)
-        parts = L.conjuncts(where.predicate)
-        if any(True for e in (*parts, *agg.exprs(), *top.exprs()) for _ in L.subqueries(e)):
-            return None
-        inside, pairs = [], []
-        for c in parts:
+        own, inside, pairs = L.made(where.input), [], []
+        for c in L.conjuncts(where.predicate):
+            if any(True for _ in L.subqueries(c)):
+                return None
             if L.refs(c) <= own:
                 inside.append(c)
                 continue
@@ -379,23 +373,58 @@ class Lowerer:
             if len(inner) != 1 or len(outer) != 1:
                 return None
             pairs.append((inner[0], outer[0]))
-        made = {i for i, _ in agg.aggs}
-        if not pairs or any(L.refs(e) - own for e in agg.exprs()) or any(L.refs(e) - made for e in top.exprs()):
+        if not pairs:
             return None
         core: L.Rel = where.input
         if inside:
             core = L.Filter(core.cols, set(), core.max_rows, core, inside[0] if len(inside) == 1 else X("and", "bool", tuple(inside)))
-        sub = self.relation(core, self.root)
+        return self.relation(core, self.root), pairs
+
+    def _matched(self, low: Lowered, found: DataFrame, sub: Lowered, names: list[str], pairs, layer: Layer) -> DataFrame:
+        """The outer rows with the columns of `found` where its keys and `names` fit."""
+        rename = {k: self.new("k") for k in sub.keys}
+        found = found.withColumnsRenamed(rename) if rename else found
+        outside = self.columns(layer, set(low.df.columns))
+        tests = [F.col(k).eqNullSafe(F.col(v)) for k, v in rename.items()] + [outside(o) == F.col(n) for n, (_, o) in zip(names, pairs, strict=True)]
+        return low.df.join(found, reduce(lambda a, b: a & b, tests), "left")
+
+    def _flagged_exists(self, low: Lowered, x: X, layer: Layer) -> tuple[Lowered, str] | None:
+        """EXISTS as a column, where the inner relation is correlated by equalities only."""
+        rel = x.info
+        if isinstance(rel, L.Project) and not any(True for e in rel.exprs() for _ in L.subqueries(e)):
+            rel = rel.input
+        form = self._equated(rel)
+        if form is None:
+            return None
+        sub, pairs = form
+        build = self.columns(self.root, set(sub.df.columns))
+        names, name = [self.new("g") for _ in pairs], self.new("v")
+        found = sub.df.select(*sub.keys, *[build(a).alias(n) for n, (a, _) in zip(names, pairs, strict=True)]).distinct().withColumn(name, F.lit(True))
+        joined = self._matched(low, found, sub, names, pairs, layer)
+        return replace(low, df=joined.withColumn(name, F.coalesce(F.col(name), F.lit(False))).select(*low.df.columns, name)), name
+
+    def _grouped_scalar(self, low: Lowered, x: X, layer: Layer) -> tuple[Lowered, str] | None:
+        """A scalar aggregate that is correlated by equalities in its WHERE only: the inner relation
+        grouped by its side of them, joined to the outer. None where that is not its form."""
+        top = x.info
+        if not (isinstance(top, L.Project) and isinstance(top.input, L.Aggregate) and isinstance(top.input.input, L.Filter)):
+            return None
+        agg, where = top.input, top.input.input
+        if agg.grouped or agg.keys or agg.firsts or any(True for e in (*agg.exprs(), *top.exprs()) for _ in L.subqueries(e)):
+            return None
+        own, made = L.made(where.input), {i for i, _ in agg.aggs}
+        if any(L.refs(e) - own for e in agg.exprs()) or any(L.refs(e) - made for e in top.exprs()):
+            return None
+        form = self._equated(where)
+        if form is None:
+            return None
+        sub, pairs = form
         build = self.columns(self.root, set(sub.df.columns))
         names = [self.new("g") for _ in pairs]
         keyed = sub.df.withColumns({n: build(a) for n, (a, _) in zip(names, pairs, strict=True)})
         aggs = [build.aggregate(g.name, g.distinct, g.type, g.args).alias(i) for i, g in agg.aggs]
         found = keyed.groupBy(*sub.keys, *names).agg(*(aggs or [F.count(F.lit(1)).alias(self.new("u"))]))
-        rename = {k: self.new("k") for k in sub.keys}
-        found = found.withColumnsRenamed(rename) if rename else found
-        outside = self.columns(layer, set(low.df.columns))
-        tests = [F.col(k).eqNullSafe(F.col(v)) for k, v in rename.items()] + [outside(o) == F.col(n) for n, (_, o) in zip(names, pairs, strict=True)]
-        joined = low.df.join(found, reduce(lambda a, b: a & b, tests), "left")
+        joined = self._matched(low, found, sub, names, pairs, layer)
         counts = {i: F.coalesce(F.col(i), F.lit(0)) for i, g in agg.aggs if g.name == "count"}
         joined = joined.withColumns(counts) if counts else joined
         name = self.new("v")
@@ -404,7 +433,8 @@ class Lowerer:
         return replace(low, df=joined.withColumn(name, value).select(*low.df.columns, name)), name
 
     def _value(self, low: Lowered, x: X, layer: Layer) -> tuple[Lowered, str]:
-        if x.op == "scalar" and (done := self._grouped_scalar(low, x, layer)) is not None:
+        direct = {"scalar": self._grouped_scalar, "exists": self._flagged_exists}.get(x.op)
+        if direct and (done := direct(low, x, layer)) is not None:
             return done
         sub, _, values = self._inner(low, x, layer)
         name, match = self.new("v"), self._match(sub, values)

@@ -50,7 +50,7 @@ def _predicate(r: random.Random, cols: list[str], depth: int) -> str:
 
 
 def _query(r: random.Random) -> str:
-    kind = r.randrange(6)
+    kind = r.randrange(10)
     p = _predicate(r, ["t.a", "t.b"], 2)
     if kind == 0:
         return f"SELECT t.a AS x, t.b AS y, t.s AS z FROM t WHERE {p}"
@@ -65,10 +65,18 @@ def _query(r: random.Random) -> str:
     if kind == 4:
         op = r.choice(["UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"])
         return f"SELECT t.b AS x FROM t {op} SELECT c AS x FROM u"
+    if kind == 6:
+        return f"SELECT t.a AS x, EXISTS (SELECT 1 AS one FROM u WHERE u.a = t.a AND u.c {r.choice(['=', '<'])} t.b) OR t.b > 1 AS y, (SELECT COUNT(*) FROM u WHERE u.c = t.b) + 1 AS n, (SELECT SUM(u.c) + COUNT(u.a) FROM u WHERE u.a = t.a AND u.c = t.b) AS s FROM t"
+    if kind == 7:
+        return f"SELECT d.y AS y, COUNT(*) AS n FROM (SELECT t.a AS x, t.b + {r.randrange(2)} AS y FROM t UNION {r.choice(['', 'ALL '])}SELECT u.c AS x, u.a AS y FROM u) d WHERE d.x IN (SELECT w.a FROM t w WHERE w.b = d.y OR w.b IS NULL) GROUP BY d.y"
+    if kind == 8:
+        return f"SELECT t.a AS x FROM t WHERE EXISTS (SELECT 1 AS one FROM u WHERE u.a > 1 AND EXISTS (SELECT 1 AS one FROM t w WHERE w.a = t.a AND w.b {r.choice(['=', '>=', '<>'])} u.c)) OR {p}"
+    if kind == 9:
+        return f"WITH g AS (SELECT t.b AS b, MAX(t.a) AS m FROM t GROUP BY t.b) SELECT t.a AS x, g.m AS m FROM t LEFT JOIN g ON t.b = g.b WHERE t.a <= (SELECT MAX(g.m) FROM g) AND {p}"
     return f"SELECT t.a AS x, RANK() OVER (PARTITION BY t.b ORDER BY t.a NULLS FIRST) AS r, COUNT(t.a) OVER (PARTITION BY t.s) AS n, SUM(t.a) OVER (ORDER BY t.b NULLS LAST) AS q FROM t WHERE {p}"
 
 
-@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("seed", range(90))
 def test_random_query(engine, small, seed):
     text = _query(random.Random(seed))
     theirs = text
@@ -81,3 +89,51 @@ def test_random_query(engine, small, seed):
         pytest.skip(str(e)[:80])
     assert want
     same_rows(engine.sql(text), relation)
+
+
+TEXTS = [
+    "SELECT i.id, (SELECT COUNT(*) FROM items j WHERE j.value = i.id) AS n FROM items i WHERE i.flag OR i.value IN (SELECT k.id FROM items k)",
+    "SELECT flag, COUNT(*) AS n, MIN(value) AS v, AVG(id) AS m FROM items GROUP BY flag HAVING COUNT(value) > 0",
+    "SELECT COUNT(*) AS n, MAX(value) AS v FROM items WHERE NOT flag",
+    "SELECT id, RANK() OVER (PARTITION BY flag ORDER BY value) AS r, ROW_NUMBER() OVER (ORDER BY value DESC) AS n, SUM(value) OVER (ORDER BY id) AS s FROM items",
+    "SELECT a.id AS x, b.value AS y FROM items a FULL JOIN items b ON a.id = b.value AND a.flag",
+    "SELECT value FROM items EXCEPT ALL SELECT id FROM items WHERE flag",
+    "SELECT id FROM items INTERSECT SELECT value FROM items",
+    "SELECT DISTINCT value, flag FROM items UNION ALL SELECT id, flag FROM items WHERE value NOT IN (SELECT j.value FROM items j WHERE j.flag)",
+    "SELECT id FROM items i WHERE NOT EXISTS (SELECT 1 AS one FROM items j WHERE j.id = i.value AND EXISTS (SELECT 1 AS one FROM items k WHERE k.id < i.id OR k.flag = j.flag))",
+    "SELECT id, value FROM items ORDER BY value DESC, id LIMIT 1",
+    "SELECT t.id FROM (SELECT id, value FROM items ORDER BY value LIMIT 1 OFFSET 1) t",
+    "SELECT id, (SELECT j.value FROM items j WHERE j.id >= i.id ORDER BY 1 DESC LIMIT 1) AS v FROM items i",
+    "SELECT id, CASE WHEN EXISTS (SELECT 1 AS one FROM items j WHERE j.value = i.value AND j.flag) THEN 1 ELSE 0 END AS e FROM items i",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_side_by_side_is_one_by_one(spark, text):
+    """A query over all candidate databases at once gives each one's own result."""
+    from plumbline.checker import worlds as W
+    from plumbline.checker.domains import Classes
+    from plumbline.checker.outcome import Options
+    from plumbline.checker.verify import Session
+    from plumbline.operators.lower import Layer, Lowerer
+    from plumbline.sources.schema import Column, Schema, Table
+
+    schema = Schema((Table("items", (Column("id", "int", False), Column("value", "int"), Column("flag", "bool"))),))
+    session = Session(spark, schema, Options())
+    bound = session._bind(text, 2, "c")
+    worlds = W.build(session.spark, schema, Classes(schema).build([bound.rel], []), {"items"}, 2, False, 10_000)
+    lifted = Lowerer(session.spark, worlds.tables, True, Layer(worlds.frame, [W.WORLD]), True).relation(bound.rel)
+    names = [c.id for c in bound.rel.cols if c.visible]
+    every: dict = {}
+    for row in lifted.df.select(W.WORLD, *names).collect():
+        every.setdefault(row[0], []).append(tuple(row)[1:])
+    contents: dict = {}
+    for row in worlds.tables["items"].orderBy(W.WORLD, "__position").collect():
+        contents.setdefault(row[W.WORLD], []).append((row.id, row.value, row.flag))
+    picked = random.Random(text).sample(range(worlds.count), min(9, worlds.count))
+    for world in [0, *picked]:
+        tables = {"items": tuple(contents.get(world, ()))}
+        from plumbline.checker.outcome import Metrics
+
+        example = session._replayed(tables, text, text, bound, bound, False, Metrics())[1]
+        assert sorted(every.get(world, []), key=repr) == sorted(example.left.rows, key=repr), tables
