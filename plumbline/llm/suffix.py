@@ -25,9 +25,9 @@ so that a passage that many documents share reaches its shard once per batch of
 Fingerprints have 64 bits.
 
 Defined cases: a null text is empty; a text shorter than `LENGTH` keeps all; a null
-doc_id sorts first; rows that repeat a doc_id are the same document: at equal offsets
-they do not remove one another, and what goes from one goes from all, as far as it is
-as long. Other columns are ignored.
+doc_id sorts first; rows that repeat a doc_id are told apart, and ordered, by a hash of
+their texts; rows that repeat a doc_id and its text are the same document, and do not
+remove one another. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,16 +79,26 @@ def entries(data: np.ndarray, offsets: np.ndarray):
     return anchors[at[first]], C.span_hash(prefix, first, last + LENGTH), row[first], first - offsets[row[first]], last - first
 
 
-def earliest(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are the first of their key by (doc, start), and which come after it.
+def _order(rows: np.ndarray) -> np.ndarray:
+    """Document order: by doc, tie and start."""
+    return np.lexsort((rows["start"], rows["tie"], rows["doc"]))
+
+
+def _same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] == b["doc"]) & (a["tie"] == b["tie"]) & (a["start"] == b["start"])
+
+
+def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the first of their segment in document order, and which come after it.
     Rows at the place of the first are neither."""
-    order = np.lexsort((start, doc, key))
-    k, d, s = key[order], doc[order], start[order]
+    order = np.lexsort((rows["start"], rows["tie"], rows["doc"], rows["segment"]))
+    sorted_ = rows[order]
+    k = sorted_["segment"]
     fresh = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
     lead = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
-    first, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    first, later = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     first[order] = fresh
-    later[order] = (d != d[lead]) | (s != s[lead])
+    later[order] = ~_same_place(sorted_, sorted_[lead])
     return first, later
 
 
@@ -101,7 +111,7 @@ class Family:
     def add(self, batch: np.ndarray) -> np.ndarray:
         """Take a batch (in document order, later than all before it); tell which of its suffixes
         repeat a segment."""
-        first, later = earliest(batch["segment"], batch["doc"], batch["start"])
+        first, later = earliest(batch)
         array = batch[first][np.argsort(batch["segment"][first], kind="stable")]
         known = np.zeros(len(array), bool)
         same = np.zeros(len(array), bool)
@@ -109,7 +119,7 @@ class Family:
             at = np.minimum(np.searchsorted(level["segment"], array["segment"]), len(level) - 1)
             hit = level["segment"][at] == array["segment"]
             known |= hit
-            same |= hit & (level["doc"][at] == array["doc"]) & (level["start"][at] == array["start"])
+            same |= hit & _same_place(level[at], array)
         if known.any():
             old = array["segment"][known]
             place = np.minimum(np.searchsorted(old, batch["segment"]), len(old) - 1)
@@ -117,7 +127,7 @@ class Family:
             lead = array[known & same]
             if len(lead):  # another row of the same document at the same offset
                 p = np.minimum(np.searchsorted(lead["segment"], batch["segment"]), len(lead) - 1)
-                seen &= ~((lead["segment"][p] == batch["segment"]) & (lead["doc"][p] == batch["doc"]) & (lead["start"][p] == batch["start"]))
+                seen &= ~((lead["segment"][p] == batch["segment"]) & _same_place(lead[p], batch))
             later |= seen
         if len(new := array[~known]):
             self.levels.append(new)
@@ -137,8 +147,8 @@ class Family:
         return every[np.r_[False, same] | np.r_[same, False]] if len(every) > 1 else every[:0]
 
 
-ENTRY = np.dtype([("anchor", "<u4"), ("segment", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
-WINDOW = np.dtype([("segment", "<u8"), ("doc", "<i8"), ("start", "<u4")])
+ENTRY = np.dtype([("anchor", "<u4"), ("segment", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("more", "u1")])
+WINDOW = np.dtype([("segment", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4")])
 _SPAN = np.dtype([("start", "<u4"), ("more", "<u4")])
 
 
@@ -169,81 +179,85 @@ def _dealt(rows: np.ndarray, shard: np.ndarray):
         yield int(shard[a]), _pack(rows[a:b])
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray, more: np.ndarray):
-    """(doc, packed spans) for each document; a span is `more` + 1 windows that repeat."""
-    order = np.lexsort((start, doc))
-    doc, spans = doc[order], np.zeros(len(doc), _SPAN)
-    spans["start"], spans["more"] = start[order], more[order]
-    edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else []
+def _by_doc(rows: np.ndarray, more: np.ndarray):
+    """(doc, tie, packed spans) for each document; a span is `more` + 1 windows that repeat."""
+    order = _order(rows)
+    rows, spans = rows[order], np.zeros(len(rows), _SPAN)
+    spans["start"], spans["more"] = rows["start"], more[order]
+    doc, tie = rows["doc"], rows["tie"]
+    edges = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]), True]) if len(doc) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(doc[a]), spans[a:b].tobytes()
+        yield int(doc[a]), int(tie[a]), spans[a:b].tobytes()
 
 
 def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-_OUT = "kind int, doc long, shard int, blob binary"
+_OUT = "kind int, doc long, tie long, shard int, blob binary"
 _REPEAT, _OPEN = 0, 1
 
 
 def _out(shard: int, repeats, open_=()) -> pa.Table:
-    told = [(_REPEAT, d, shard, b) for d, b in repeats] + [(_OPEN, d, shard, b) for d, b in open_]
-    return pa.Table.from_batches([_rows([list(c) for c in zip(*told, strict=True)] or [[], [], [], []], [pa.int32(), pa.int64(), pa.int32(), pa.binary()], ["kind", "doc", "shard", "blob"])])
+    told = [(_REPEAT, d, t, shard, b) for d, t, b in repeats] + [(_OPEN, d, t, shard, b) for d, t, b in open_]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.Table.from_batches([_rows([list(c) for c in zip(*told, strict=True)] or [[] for _ in kinds], kinds, ["kind", "doc", "tie", "shard", "blob"])])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc, tie (a hash of the text) and text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def _deal(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, doc, blob: entries (doc null) for the shards, and repeats found on the spot."""
+    """shard, doc, tie, blob: entries (doc null) for the shards, and repeats found on the spot."""
 
     def run(batches):
         for batch in batches:
             data, offsets = C.buffers(batch.column("text"))
-            ids, parts, anchors = np.asarray(batch.column("doc")), [], []
+            ids, ties, parts, anchors = np.asarray(batch.column("doc")), np.asarray(batch.column("tie")), [], []
             for a, b in C.chunks(offsets):
                 anchor, segment, row, start, more = entries(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = np.zeros(len(anchor), ENTRY)
-                part["anchor"], part["segment"], part["doc"], part["start"], part["more"] = (anchor >> np.uint64(32)).astype(np.uint32), segment, ids[a + row], start, more
+                part["anchor"], part["segment"], part["start"], part["more"] = (anchor >> np.uint64(32)).astype(np.uint32), segment, start, more
+                part["doc"], part["tie"] = ids[a + row], ties[a + row]
                 parts.append(part)
                 anchors.append(anchor & np.uint64(0xFFFFFFFF))
             if not parts:
                 continue
             rows, low = np.concatenate(parts), np.concatenate(anchors)
-            first, later = earliest(rows["segment"], rows["doc"], rows["start"])
-            gone = rows[later]
-            out = [(d % shards, d, blob) for d, blob in _by_doc(gone["doc"], gone["start"], gone["more"])]
-            out += [(k, None, blob) for k, blob in _dealt(rows[first], (low[first] % np.uint64(shards)).astype(np.int64))]
-            yield _rows([list(c) for c in zip(*out, strict=True)] or [[], [], []], [pa.int32(), pa.int64(), pa.binary()], ["shard", "doc", "blob"])
+            first, later = earliest(rows)
+            out = [(d % shards, d, t, blob) for d, t, blob in _by_doc(rows[later], rows["more"][later])]
+            out += [(k, None, None, blob) for k, blob in _dealt(rows[first], (low[first] % np.uint64(shards)).astype(np.int64))]
+            yield _rows([list(c) for c in zip(*out, strict=True)] or [[], [], [], []], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["shard", "doc", "tie", "blob"])
 
-    return _documents(docs).mapInArrow(run, "shard int, doc long, blob binary")
+    return _documents(docs).mapInArrow(run, "shard int, doc long, tie long, blob binary")
 
 
 def _index(table: pa.Table) -> pa.Table:
     """One shard: its entries through a family; repeats found before pass through."""
-    docs, blobs = table.column("doc").to_pylist(), table.column("blob").to_pylist()
-    rows = _unpack([b for d, b in zip(docs, blobs, strict=True) if d is None], ENTRY)
-    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+    given = list(zip(*(table.column(c).to_pylist() for c in ("doc", "tie", "blob")), strict=True))
+    rows = _unpack([b for d, _, b in given if d is None], ENTRY)
+    rows = rows[_order(rows)]
     family = Family()
     gone = [part[family.add(part)] for part in (rows[k : k + BATCH] for k in range(0, len(rows), BATCH))]
     gone = np.concatenate(gone) if gone else rows
     open_ = family.ambiguous()
-    told = [(d, b) for d, b in zip(docs, blobs, strict=True) if d is not None]
-    return _out(table.column("shard")[0].as_py(), told + list(_by_doc(gone["doc"], gone["start"], gone["more"])), _by_doc(open_["doc"], open_["start"], open_["more"]))
+    told = [g for g in given if g[0] is not None]
+    return _out(table.column("shard")[0].as_py(), told + list(_by_doc(gone, gone["more"])), _by_doc(open_, open_["more"]))
 
 
 def _first_windows(table: pa.Table) -> pa.Table:
-    """One shard of single windows: all but the first of each repeat."""
+    """One shard of single windows: all but the first of each repeat, neighbours as one span."""
     rows = _unpack(table.column("blob").to_pylist(), WINDOW)
-    _, later = earliest(rows["segment"], rows["doc"], rows["start"])
+    _, later = earliest(rows)
     gone = rows[later]
-    gone = gone[np.lexsort((gone["start"], gone["doc"]))]
-    doc, start = gone["doc"], gone["start"].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(gone) else np.zeros(0, np.int64)
+    gone = gone[_order(gone)]
+    doc, tie, start = gone["doc"], gone["tie"], gone["start"].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > start[:-1] + 1)]) if len(gone) else np.zeros(0, np.int64)
     last = np.r_[first[1:], len(gone)] - 1 if len(gone) else first
-    return _out(table.column("shard")[0].as_py(), _by_doc(doc[first], start[first], start[last] - start[first]))
+    return _out(table.column("shard")[0].as_py(), _by_doc(gone[first], start[last] - start[first]))
 
 
 def _spans(lists) -> np.ndarray:
@@ -257,7 +271,7 @@ def _deal_windows(joined: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             parts, shards = [np.zeros(0, WINDOW)], [np.zeros(0, np.int64)]
-            for doc, text, lists in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "blobs")), strict=True):
+            for doc, tie, text, lists in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "blobs")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 prefix = C.prefix_hash(data)
                 for x in lists:
@@ -265,7 +279,7 @@ def _deal_windows(joined: DataFrame) -> DataFrame:
                     start = C.ragged(spans["start"].astype(np.int64), spans["more"].astype(np.int64) + 1)
                     start = start[start + LENGTH <= len(data)]
                     part = np.zeros(len(start), WINDOW)
-                    part["segment"], part["doc"], part["start"] = C.span_hash(prefix, start, start + LENGTH), doc, start
+                    part["segment"], part["doc"], part["tie"], part["start"] = C.span_hash(prefix, start, start + LENGTH), doc, tie, start
                     parts.append(part)
                     shards.append(np.full(len(start), x["shard"], np.int64))
             out = list(_dealt(np.concatenate(parts), np.concatenate(shards)))
@@ -275,32 +289,32 @@ def _deal_windows(joined: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
-    """The documents whose id may be in the bitmap, or the others."""
+    """The documents whose tie may be in the bitmap, or the others."""
 
     def run(batches):
         for batch in batches:
-            held = B.passes(wanted, np.asarray(batch.column("doc")).view(np.uint64))
+            held = B.passes(wanted, np.asarray(batch.column("tie")).view(np.uint64))
             yield batch.filter(pa.array(held if inside else ~held))
 
-    return _documents(docs).mapInArrow(run, "doc long, text string")
+    return _documents(docs).mapInArrow(run, "doc long, tie long, text string")
 
 
 def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc, text, blobs of the documents that `found` has spans for; and the bitmap of their ids."""
-    grouped = found.groupBy("doc").agg(F.collect_list(F.struct("shard", "blob")).alias("blobs"))
-    wanted = B.build(found, F.col("doc"))
-    return _only(docs, wanted, True).join(grouped, "doc", "left"), wanted
+    """doc, tie, text, blobs of the documents that `found` has spans for; and the bitmap of their ties."""
+    grouped = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("shard", "blob")).alias("blobs"))
+    wanted = B.build(found, F.col("tie"))
+    return _only(docs, wanted, True).join(grouped, ["doc", "tie"], "left"), wanted
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, shard, blob: the packed spans of repeating windows, some rows per document."""
+    """doc, tie, shard, blob: the packed spans of repeating windows, some rows per document."""
     C.tune(docs.sparkSession)
     shards = max(16, math.ceil(C.text_bytes(docs) / SHARD_BYTES))
     told = C.checkpoint(_deal(docs, shards).groupBy("shard").applyInArrow(_index, _OUT))
-    open_ = told.filter(F.col("kind") == _OPEN).select("doc", "shard", "blob")
+    open_ = told.filter(F.col("kind") == _OPEN).select("doc", "tie", "shard", "blob")
     windows = _deal_windows(_with_spans(docs, open_)[0].filter("blobs IS NOT NULL"))
     single = C.checkpoint(windows.groupBy("shard").applyInArrow(_first_windows, _OUT))
-    return told.filter(F.col("kind") == _REPEAT).union(single).select("doc", "shard", "blob")
+    return told.filter(F.col("kind") == _REPEAT).union(single).select("doc", "tie", "shard", "blob")
 
 
 def marked(data_length: int, spans: np.ndarray) -> np.ndarray:

@@ -60,6 +60,16 @@ def test_suffix_dedup_overlaps(spark):
         assert [*zip(got[d].starts, got[d].ends, strict=True)] == [m.span() for m in re.finditer(b"\1+", bytes(gone))]
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    """Rows of one id but other texts are documents of their own; equal rows are the same one."""
+    passage = prose(60, 30)
+    rows = [(None, passage + " x"), (None, prose(61, 40)), (1, "a " + passage), (1, prose(62, 40) + passage), (1, prose(62, 40) + passage), (2, prose(63, 30))]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), True).collect()]
+    size = len(passage.encode())
+    want = [(None, size + 2, 0), (None, len(rows[1][1].encode()), 0), (1, size + 2, size), (1, len(rows[3][1].encode()), size), (1, len(rows[3][1].encode()), size), (2, len(rows[5][1].encode()), 0)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_family_levels_are_logarithmic():
     family, seen = suffix.Family(), set()
     rng = np.random.default_rng(1)
