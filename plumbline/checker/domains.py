@@ -16,7 +16,7 @@ from decimal import Decimal
 
 from ..plans import logical as L
 from ..plans.logical import X
-from ..sources.schema import Schema
+from ..sources.schema import ForeignKey, Increasing, Schema, Unique
 
 _COMPARED = {"eq", "ne", "lt", "le", "gt", "ge", "same"}
 _LOGIC = {"and", "or", "not", "is_null", "is_bool"}
@@ -214,12 +214,38 @@ class Classes:
                 t, c = i.split(".", 1)
                 self.union(("base", t, c), i)
                 self.used.add((t, c))
+        self._keys()
         for i in self.counts:
             # a count that meets values of a column counts like a computed value
             if any(self.root(("base", *m)) == self.root(i) for m in self.used):
                 self.incomplete("a count compared with a column")
         return self
 
+    def _keys(self) -> None:
+        """Columns of keys and sequences matter, though no query names them: how many rows there can
+        be depends on their values."""
+        for t in self.schema.tables:
+            for key in self.schema.primary_keys(t):
+                self.used |= {(t.key(), c.lower()) for c in key}
+        for c in self.schema.constraints:
+            if isinstance(c, Unique):
+                self.used |= {(c.table.lower(), x.lower()) for x in c.columns}
+            elif isinstance(c, ForeignKey):
+                for x, y in zip(c.columns, c.other_columns, strict=True):
+                    own, other = (c.table.lower(), x.lower()), (c.other.lower(), y.lower())
+                    self.used |= {own, other}
+                    self.union(("base", *own), ("base", *other))
+            elif isinstance(c, Increasing):
+                own = (c.table.lower(), c.column.lower())
+                self.used.add(own)
+                self.of(("base", *own), "int").ordered = True
+        for c in self.schema.constraints:
+            if isinstance(c, Increasing) and c.consecutive:
+                root = self.root(("base", c.table.lower(), c.column.lower()))
+                beside = [m for m in self.used if self.root(("base", *m)) == root]
+                if len(beside) > 1 or self.found[root].literals:
+                    self.incomplete("a consecutive column that is compared with other values")
+
     def class_of(self, table: str, column: str) -> ColumnClass:
         return self.of(("base", table, column), self.schema.table(table).column(column).type)
 
