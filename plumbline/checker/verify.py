@@ -23,7 +23,7 @@ from ..plans.syntax import parse
 from ..sources.constraints import check_predicate
 from ..sources.schema import Check, Schema, spark_type
 from . import worlds as Wd
-from .domains import Classes
+from .domains import Classes, domain
 from .outcome import Counterexample, Different, Equivalent, Metrics, Options, Result, Unsupported, Verdict
 
 
@@ -89,7 +89,7 @@ class Session:
     def __init__(self, spark: SparkSession, schema: Schema, options: Options):
         self.large, self.schema, self.options = spark, schema, options
         self.spark = self.light = _light(spark)
-        self.kept: dict[tuple, Wd.Worlds] = {}
+        self.kept: dict[tuple, tuple[Wd.Worlds, SparkSession]] = {}
         self.late = False
 
     def verify(self, left: str, right: str, metrics: Metrics | None = None) -> Verdict:
@@ -161,12 +161,21 @@ class Session:
         classes = Classes(self.schema).build([a.rel, b.rel], predicates)
         symmetric = not (a.ordered or _positional(a.rel) or _positional(b.rel))
         used = _tables(a.rel) | _tables(b.rel)
-        worlds = self._timed(metrics, "worlds", lambda: self._worlds(classes, used, symmetric))
-        metrics.add("worlds", worlds.count)
-        if not worlds.count:
-            return Unsupported(Reason.INVALID_SCHEMA, "no database satisfies the constraints")
-        found = self._timed(metrics, "search", lambda: self._search(worlds, a, b))
+        worlds = self._timed(metrics, "worlds", lambda: self._worlds(classes, used, symmetric, o.rows))
+        searched = [worlds]
+        if worlds.partial:  # fewer rows first, which may be searched as a whole
+            searched = [self._timed(metrics, "worlds", lambda n=n: self._worlds(classes, used, symmetric, n)) for n in range(1, o.rows)] + searched
+        found = None
+        for worlds in searched:
+            metrics.add("worlds", worlds.count)
+            if not worlds.count and not worlds.partial:
+                return Unsupported(Reason.INVALID_SCHEMA, "no database satisfies the constraints")
+            found = self._timed(metrics, "search", lambda w=worlds: self._search(w, a, b))
+            if found is not None:
+                break
         if found is None:
+            if worlds.partial:
+                return Unsupported(Reason.COMPLEXITY_LIMIT, f"not refuted over {metrics.counts['worlds']} of {worlds.every} candidate databases")
             if classes.complete:
                 return Equivalent(o.rows, f"no difference over {worlds.count} databases")
             return Unsupported(Reason.SOLVER, f"not refuted over {worlds.count} databases, which are not all that matter ({classes.reason})")
@@ -179,21 +188,19 @@ class Session:
     def _consistent(self, predicates) -> None:
         Wd.build(self.spark, Schema(self.schema.tables, tuple(c for c in self.schema.constraints if isinstance(c, Check) and not check_predicate(self.schema, c)[1])), Classes(self.schema).build([], []), set(), 1, True, 10)
 
-    def _worlds(self, classes: Classes, used: set[str], symmetric: bool) -> Wd.Worlds:
-        from .domains import domain
-
-        key = (symmetric, frozenset(used), tuple((t.key(), c.key(), repr(domain(classes, t.key(), c.key(), self.options.rows, self.schema.nullable(t, c)))) for t in self.schema.tables for c in t.columns))
-        self.spark = self.light if Wd.estimate(self.schema, classes, used, self.options.rows) <= SMALL else self.large
+    def _worlds(self, classes: Classes, used: set[str], symmetric: bool, rows: int) -> Wd.Worlds:
+        key = (rows, symmetric, frozenset(used), tuple((t.key(), c.key(), repr(domain(classes, t.key(), c.key(), rows, self.schema.nullable(t, c)))) for t in self.schema.tables for c in t.columns))
         if key not in self.kept:
-            self.kept[key] = Wd.build(self.spark, self.schema, classes, used, self.options.rows, symmetric, self.options.worlds)
-        return self.kept[key]
+            spark = self.light if Wd.estimate(self.schema, classes, used, rows) <= SMALL else self.large
+            self.kept[key] = (Wd.build(spark, self.schema, classes, used, rows, symmetric, self.options.worlds), spark)
+        return self.kept[key][0]
 
     def _search(self, worlds: Wd.Worlds, a: Bound, b: Bound) -> int | None:
         """The least number of a database on which the results differ."""
         sides = []
         for q in (a, b):
             root = Layer(worlds.frame, [Wd.WORLD])
-            lowerer = Lowerer(self.spark, worlds.tables, True, root, True)
+            lowerer = Lowerer(worlds.frame.sparkSession, worlds.tables, True, root, True)
             low = lowerer.relation(q.rel)
             cols = [c for c in q.rel.cols if c.visible]
             sides.append((low, low.df.select(Wd.WORLD, *[F.col(c.id).alias(f"_{k}") for k, c in enumerate(cols)]), cols))

@@ -28,6 +28,13 @@ class Worlds:
     frame: DataFrame  # the column __w
     tables: dict[str, DataFrame]  # __w, position, and the table's columns
     count: int
+    every: int  # how many there are; more than count if these are a sample
+
+    @property
+    def partial(self) -> bool:
+        return self.every > self.count_before_checks
+
+    count_before_checks: int = 0
 
 
 def _numbers(spark: SparkSession, n: int) -> DataFrame:
@@ -94,7 +101,8 @@ def estimate(schema: Schema, classes: Classes, used: set[str], bound: int) -> fl
 
 
 def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str], bound: int, symmetric: bool, most: int) -> Worlds:
-    """All databases with at most `bound` rows in each table that the queries or constraints use."""
+    """All databases with at most `bound` rows in each table that the queries or constraints use; or,
+    if there are more than `most`, so many of them, spread evenly over their numbers."""
     for c in schema.constraints:
         if isinstance(c, Check) and not _only(c, schema):
             from ..functions.columns import Columns
@@ -117,9 +125,14 @@ def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str],
         states.append(rows)
         sizes.append(n)
     total = math.prod(sizes)
-    if total > most:
+    if total >= 2**40:
         raise too_complex(f"{total} candidate databases")
-    every = _numbers(spark, max(total, 1)).select(F.col("id").alias(WORLD))
+    held = min(max(total, 1), most)
+    step = int(total * 0.618) | 1
+    while math.gcd(step, max(total, 1)) != 1:
+        step += 2
+    number = F.col("id") if total <= most else F.pmod(F.col("id") * F.lit(step), F.lit(total))
+    every = _numbers(spark, held).select(number.cast("bigint").alias(WORLD))
     frames, step = {}, 1
     for t, rows, n in zip(tables, states, sizes, strict=True):
         state = (F.floor(F.col(WORLD) / step) % n).cast("bigint")
@@ -140,4 +153,4 @@ def build(spark: SparkSession, schema: Schema, classes: Classes, used: set[str],
     for t in schema.tables:  # tables that nothing concerns stay empty
         if t.key() not in frames:
             frames[t.key()] = every.select(F.col(WORLD), F.lit(0).cast("bigint").alias("__position"), *[F.lit(None).cast(spark_type(c.type, True)).alias(c.key()) for c in t.columns]).limit(0)
-    return Worlds(every, frames, every.count() if bad else total)
+    return Worlds(every, frames, every.count() if bad else held if tables else total, total, held)

@@ -157,8 +157,8 @@ def test_sequences(spark):
 def test_limits(spark):
     v = Verifier(spark, Options(rows=3, intermediate_rows=10)).verify(F3, "SELECT a.id FROM items a, items b, items c", "SELECT id FROM items")
     assert v.reason == Reason.COMPLEXITY_LIMIT
-    v = Verifier(spark, Options(worlds=3)).verify(F1, "SELECT id, value, flag FROM items", "SELECT id, value, flag FROM items WHERE flag")
-    assert v.reason == Reason.COMPLEXITY_LIMIT
+    v = Verifier(spark, Options(worlds=30)).verify(F1, "SELECT id, value FROM items WHERE value IN (1, 2)", "SELECT id, value FROM items WHERE value IN (2, 1) AND value < 9")
+    assert v.reason == Reason.COMPLEXITY_LIMIT and "not refuted" in v.message
     assert Verifier(spark, Options(rows=0)).verify(F3, "SELECT id FROM items", "SELECT id FROM items").reason == Reason.INVALID_SCHEMA
 
 
@@ -184,6 +184,20 @@ def test_three_tables(spark):
     assert isinstance(Verifier(spark).verify(schema, left, "SELECT o.id FROM orders o JOIN customers c ON o.customer_id = c.id"), Different)
 
 
+def test_a_sample_can_refute(spark):
+    schema = Schema((
+        Table("customers", (C("id", "int"), C("active", "bool")), ("id",)), Table("orders", (C("id", "int"), C("customer_id", "int"), C("total", "int")), ("id",)),
+        Table("payments", (C("order_id", "int"), C("sequence", "int"), C("amount", "int"), C("settled", "bool")), ("order_id", "sequence")),
+    ))
+    text = "SELECT o.id, p.amount FROM customers c JOIN orders o ON c.id = o.customer_id JOIN payments p ON p.order_id = o.id WHERE c.active AND NOT (p.amount <= 10)"
+    verdict = Verifier(spark, Options(worlds=20_000)).verify(schema, text + " AND p.settled", text)
+    assert isinstance(verdict, Different)
+    verdict = Verifier(spark, Options(worlds=20_000)).verify(schema, text, text.replace("NOT (p.amount <= 10)", "p.amount > 10 AND p.amount IS NOT NULL"))
+    assert verdict.reason == Reason.COMPLEXITY_LIMIT
+    verdict = Verifier(spark, Options(rows=1)).verify(schema, text, text.replace("NOT (p.amount <= 10)", "p.amount > 10 AND p.amount IS NOT NULL"))
+    assert isinstance(verdict, Equivalent)
+
+
 def test_scalar_functions(spark):
     schema = Schema((Table("t", (C("id", "int", False), C("name", "text"), C("amount", "num"), C("day", "date"))),))
     v = Verifier(spark, Options(rows=1))
