@@ -1,0 +1 @@
+"""A query engine, an equivalence checker and training-data operators on Spark."""

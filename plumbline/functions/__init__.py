@@ -1,0 +1 @@
+"""Types, functions and the columns they become."""

@@ -1,0 +1 @@
+"""Lowering to DataFrames, and comparison of results."""

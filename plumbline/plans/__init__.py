@@ -1,0 +1 @@
+"""Text to typed logical relations."""

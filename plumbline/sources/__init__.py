@@ -1,0 +1 @@
+"""Tables, constraints and records of query pairs."""
