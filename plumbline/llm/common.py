@@ -50,10 +50,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
+def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder; with `files`, after a shuffle into so many
+    partitions, where many tasks make little."""
     tune(df.sparkSession)
-    return df.checkpoint()
+    return (df.repartition(files) if files else df).checkpoint()
 
 
 #: Narrow rows in one partition of a frame that is checkpointed again and again.

@@ -196,7 +196,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             near = [similarity(unpack(x.as_buffer()), unpack(y.as_buffer())) >= THRESHOLD - 1e-9 for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    links = C.checkpoint(joined.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"))
+    links = C.checkpoint(joined.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"), -(-involved.count() // C.NARROW_ROWS) or 1)
     involved.unpersist()
     return links
 
@@ -342,7 +342,7 @@ def classes(docs: DataFrame) -> DataFrame:
         found.append(verify(docs, few))
     if large.limit(1).count():
         registers = full.groupBy("node").agg(F.first("registers").alias("registers"))
-        found.append(C.checkpoint(in_blocks(docs, large, registers)))
+        found.append(C.checkpoint(in_blocks(docs, large, registers), -(-large.count() // C.NARROW_ROWS)))
     for kept in (few, now):
         kept.unpersist()
     if len(found) > 1:
