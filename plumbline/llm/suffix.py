@@ -46,6 +46,8 @@ from . import common as C
 LENGTH, ANCHOR = 100, 50
 #: Entries in a batch of the family, and bytes of text for each shard.
 BATCH, SHARD_BYTES = 1 << 16, 8 << 20
+#: Shards whose spans, which are few, are checkpointed in one file.
+SHARDS_A_FILE = 16
 _BITS = np.uint64(30)
 _PLACE = np.uint64((1 << 30) - 1)
 FIRST = -(2**63)
@@ -205,12 +207,15 @@ def _out(shard: int, repeats, open_=()) -> pa.Table:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc, tie (a hash of the text) and text."""
+    """doc, tie and text. The tie is a hash of the text where some doc_id repeats, and else 0, which
+    takes no room."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    again = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    tie = F.xxhash64(text) if again else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), tie.alias("tie"), text.alias("text"))
 
 
-def _deal(docs: DataFrame, shards: int) -> DataFrame:
+def _deal(rows: DataFrame, shards: int) -> DataFrame:
     """shard, doc, tie, blob: entries (doc null) for the shards, and repeats found on the spot."""
 
     def run(batches):
@@ -232,7 +237,7 @@ def _deal(docs: DataFrame, shards: int) -> DataFrame:
             out += [(k, None, None, blob) for k, blob in _dealt(rows[first], (low[first] % np.uint64(shards)).astype(np.int64))]
             yield _rows([list(c) for c in zip(*out, strict=True)] or [[], [], [], []], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["shard", "doc", "tie", "blob"])
 
-    return _documents(docs).mapInArrow(run, "shard int, doc long, tie long, blob binary")
+    return rows.mapInArrow(run, "shard int, doc long, tie long, blob binary")
 
 
 def _index(table: pa.Table) -> pa.Table:
@@ -288,32 +293,32 @@ def _deal_windows(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "shard int, blob binary")
 
 
-def _only(docs: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
-    """The documents whose tie may be in the bitmap, or the others."""
+def _only(rows: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
+    """The documents that may be in the bitmap, or the others."""
 
     def run(batches):
         for batch in batches:
-            held = B.passes(wanted, np.asarray(batch.column("tie")).view(np.uint64))
+            held = B.passes(wanted, (np.asarray(batch.column("doc")) ^ np.asarray(batch.column("tie"))).view(np.uint64))
             yield batch.filter(pa.array(held if inside else ~held))
 
-    return _documents(docs).mapInArrow(run, "doc long, tie long, text string")
+    return rows.mapInArrow(run, "doc long, tie long, text string")
 
 
-def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc, tie, text, blobs of the documents that `found` has spans for; and the bitmap of their ties."""
+def _with_spans(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc, tie, text, blobs of the documents that `found` has spans for; and their bitmap."""
     grouped = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("shard", "blob")).alias("blobs"))
-    wanted = B.build(found, F.col("tie"))
-    return _only(docs, wanted, True).join(grouped, ["doc", "tie"], "left"), wanted
+    wanted = B.build(found, F.col("doc").bitwiseXOR(F.col("tie")))
+    return _only(rows, wanted, True).join(grouped, ["doc", "tie"], "left"), wanted
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame) -> DataFrame:
     """doc, tie, shard, blob: the packed spans of repeating windows, some rows per document."""
-    C.tune(docs.sparkSession)
-    shards = max(16, math.ceil(C.text_bytes(docs) / SHARD_BYTES))
-    told = C.checkpoint(_deal(docs, shards).groupBy("shard").applyInArrow(_index, _OUT))
+    shards = max(16, math.ceil(C.text_bytes(rows) / SHARD_BYTES))
+    files = math.ceil(shards / SHARDS_A_FILE)
+    told = C.checkpoint(_deal(rows, shards).groupBy("shard").applyInArrow(_index, _OUT), files)
     open_ = told.filter(F.col("kind") == _OPEN).select("doc", "tie", "shard", "blob")
-    windows = _deal_windows(_with_spans(docs, open_)[0].filter("blobs IS NOT NULL"))
-    single = C.checkpoint(windows.groupBy("shard").applyInArrow(_first_windows, _OUT))
+    windows = _deal_windows(_with_spans(rows, open_)[0].filter("blobs IS NOT NULL"))
+    single = C.checkpoint(windows.groupBy("shard").applyInArrow(_first_windows, _OUT), files)
     return told.filter(F.col("kind") == _REPEAT).union(single).select("doc", "tie", "shard", "blob")
 
 
@@ -355,9 +360,11 @@ def _applied(rows: DataFrame, digest: bool) -> DataFrame:
 def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, the bytes kept and the removed spans, or digests of them.
     Documents without repeats are not shuffled."""
-    found = repeats(docs)
-    joined, wanted = _with_spans(docs, found)
-    return _applied(joined, digest).union(_applied(_only(docs, wanted, False), digest))
+    C.tune(docs.sparkSession)
+    rows = _documents(docs)
+    found = repeats(rows)
+    joined, wanted = _with_spans(rows, found)
+    return _applied(joined, digest).union(_applied(_only(rows, wanted, False), digest))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
