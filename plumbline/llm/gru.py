@@ -149,10 +149,11 @@ class Gru:
         if not texts:
             return 0
         stream = np.concatenate([np.r_[t, 0] for t in texts]).astype(np.int64)
-        per = max(1, len(stream) // STREAMS)
-        lanes = min(STREAMS, len(stream))
-        after = stream[: per * lanes].reshape(lanes, per)
-        before = np.concatenate([np.zeros(1, np.int64), stream[: per * lanes - 1]]).reshape(lanes, per)
+        told, lanes = len(stream), min(STREAMS, len(stream))
+        per = -(-told // lanes)
+        stream = np.resize(stream, per * lanes)  # streams of one length: the first tokens fill the last
+        after = stream.reshape(lanes, per)
+        before = np.concatenate([np.zeros(1, np.int64), stream[:-1]]).reshape(lanes, per)
         first = {n: np.zeros_like(getattr(self, n)) for n in self.names}
         second = {n: np.zeros_like(getattr(self, n)) for n in self.names}
         h, k = np.zeros((lanes, SIZE), _F), 0
@@ -166,7 +167,7 @@ class Gru:
                 second[n] += 0.001 * (g * g - second[n])
                 scale = rate * (1 - 0.999**k) ** 0.5 / (1 - 0.9**k)
                 getattr(self, n)[...] -= scale * first[n] / (np.sqrt(second[n]) + 1e-8)
-        return per * lanes
+        return told
 
     def _window(self, ids, target, h):
         lanes, steps = ids.shape

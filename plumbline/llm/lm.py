@@ -8,9 +8,10 @@ words of that class. So the model is a distribution over the words seen and an u
 one per class. The counts of the `KNOWN` most frequent words, a table of that size, are
 sent to all tasks; the others' occurrences go to the shard that has their count.
 
-The network learns in rounds: each task trains a copy on up to `LEARN_TOKENS` tokens of
-its training documents, and the copies are averaged in a tree of `FAN` at a time. What
-it learns from grows with the input; counts cover all of it. Documents are scored whole,
+The network learns in rounds: each task trains a copy on all tokens of its training
+documents, in pieces of about `LEARN_TOKENS` one after another, and the copies are averaged
+in a tree of `FAN` at a time. So each round learns every training token, however the
+input is split; counts cover all of it too. Documents are scored whole,
 side by side on lanes, with the state carried from window to window.
 
 Defined cases: a null text is empty, and has its end only; a null doc_id counts as held
@@ -186,19 +187,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds: i
         now, rate = model.flat(), 0.01 / 2**k
 
         def learn(batches, now=now, rate=rate):
-            own, seen, texts = None, 0, []
+            own, learnt, seen, texts = None, 0, 0, []
+
+            def piece():
+                nonlocal own, learnt
+                own = own or Gru(vocabulary.head, TAILS, counts).load(now)
+                learnt += own.learn(texts, rate)
+
             for batch in batches:
-                if seen >= tokens:
-                    continue
                 for _, _, ids, _, _, back, at in _texts(batch, vocabulary):
                     line = ids[back]
                     texts += [line[at[i] : at[i + 1]] for i in range(len(at) - 1)]
                     seen += len(line) + len(at) - 1
                     if seen >= tokens:
-                        break
+                        piece()
+                        seen, texts = 0, []
             if texts:
-                own = Gru(vocabulary.head, TAILS, counts).load(now)
-                learnt = own.learn(texts, rate)
+                piece()
+            if learnt:
                 from pyspark import TaskContext
 
                 part = TaskContext.get().partitionId()

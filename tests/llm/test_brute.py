@@ -142,6 +142,19 @@ def test_language_model(spark, docs, texts, monkeypatch):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_network_learns_all_of_a_partition(spark):
+    early, late = [("ha lo mi " * 10,)] * 1100, [("ne re ta ku " * 10,)] * 1100  # more than one batch
+    docs = C.tune(spark).createDataFrame(early + late, "text string").coalesce(1)
+    words = lm.most_frequent(lm.count_words(docs, 2), 100)
+    vocabulary, counts = lm.Vocabulary(words, 100), np.r_[2200, words["n"], np.zeros(lm.TAILS)].astype(float)
+    batch = docs.filter("text LIKE 'ne%'").limit(1).toArrow().to_batches()[0]
+    text = [ids[back] for _, _, ids, _, _, back, _ in lm._texts(batch, vocabulary)]
+    whole, head = (lm.train(d, vocabulary, counts, 1, 2000).score(text)[0] for d in (docs, docs.filter("text LIKE 'ha%'")))
+    assert whole / 41 > head / 41 + 0.5, (whole, head)  # the order of the late words is learnt
+    model = gru.Gru(101, lm.TAILS, np.ones(101 + lm.TAILS))
+    assert model.learn([np.arange(1, 100)]) == 100  # no rest is left out
+
+
 def test_network_sums_to_one_and_carries_state():
     model = gru.Gru(300, 7, np.arange(307) + 1.0)
     rng = np.random.default_rng(0)
