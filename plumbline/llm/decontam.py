@@ -10,14 +10,17 @@ one value of the document throughout, so that a question with other numbers or n
 is caught and a chance meeting of templates is not.
 
 A document is contaminated by an item if an alignment holds as many windows as `RUN`
-tokens in a row give (all of the item, if it is shorter) and its slots are consistent.
+tokens in a row give (all that the item has, if those are fewer) and its slots are
+consistent. What templates cannot tell is matched by its tokens as they are but for case:
+items of up to `RUN` tokens as a whole, and runs of `RUN` tokens that have a window with
+too few words. An alignment is of one text.
 
 Document windows that a bitmap of the benchmark's hashes excludes never leave the
 task. The benchmark's windows are broadcast only if they are counted and no more than
 `BROADCAST_ROWS`; beyond that the join shuffles.
 
-Defined cases: null or empty texts and items of fewer than `SHORTEST` tokens match
-nothing; repeated documents are each told, rows that repeat a doc_id count as one
+Defined cases: null or empty texts match nothing; items of fewer than `SHORTEST` tokens
+match as they are only; repeated documents are each told, rows that repeat a doc_id count as one
 document; a null doc_id or item_id is a value like any other; an empty benchmark
 contaminates nothing. Other columns are ignored.
 """
@@ -44,7 +47,7 @@ _LOWERS[97:123] = True
 _LOWERS[128:] = True
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = _WORD[39] = True
 _STOP[list(b".!?:;\n\"")] = True
-_NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+_NUMBER, _NAME, _UNIT, _RUN = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0x4444444444444444))
 _STEP = pow(0xD1342543DE82EF95, 1, 1 << 64)
 
 
@@ -101,6 +104,26 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int):
     return kept, C.mix(h[kept] + np.uint64(size)), value, slot, at
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Runs of `size` tokens by their values: first token, hash, and whether a window in them has
+    too few literals; row offsets."""
+    _, value, slot, at = tokens(data, offsets)
+    n = len(value) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), at
+    h, step = np.zeros(n, np.uint64), 1
+    for k in range(size):
+        h += value[k : k + n] * np.uint64(step)
+        step = step * _STEP % (1 << 64)
+    poor = np.zeros(n, bool)
+    literal = np.concatenate([[0], np.cumsum(~slot)])
+    for k in range(size - WINDOW + 1):
+        poor |= literal[k + WINDOW : k + WINDOW + n] - literal[k : k + n] < LITERALS
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    kept = np.flatnonzero(row[:n] == row[size - 1 :])
+    return kept, C.mix((h[kept] + np.uint64(size)) ^ _RUN), poor[kept], at
+
+
 def _slots(first, size, value, slot):
     """The values in each window's slots, as an Arrow list."""
     count = np.concatenate([[0], np.cumsum(slot)])
@@ -111,7 +134,9 @@ def _slots(first, size, value, slot):
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
-    """h, item_id, item_at, size, needed (windows on one alignment), item_slots."""
+    """h, item_id, item_at, size, plain (a run of tokens as they are), needed (windows on one
+    alignment), item_slots."""
+    names = ["h", "item_id", "item_at", "size", "plain", "needed", "item_slots"]
 
     def run(batches):
         for batch in batches:
@@ -123,29 +148,43 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
                 row = np.searchsorted(at, first, "right") - 1
                 held = (lengths[row] >= size) if size == WINDOW else (lengths[row] == size)
                 first, h, row = first[held], h[held], row[held]
-                needed = np.maximum(1, np.minimum(RUN, lengths[row]) - size + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(needed.astype(np.int64)), _slots(first, size, value, slot)], names=["h", "item_id", "item_at", "size", "needed", "item_slots"])
+                has = np.bincount(row, minlength=len(lengths))[row]
+                needed = np.minimum(has, np.maximum(1, np.minimum(RUN, lengths[row]) - size + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.zeros(len(h), bool)), pa.array(needed.astype(np.int64)), _slots(first, size, value, slot)], names=names)
+            for size in range(1, RUN + 1):
+                first, h, poor, at = runs(data, offsets, size)
+                row = np.searchsorted(at, first, "right") - 1
+                held = (lengths[row] == size) | poor & (size == RUN)
+                first, h, row = first[held], h[held], row[held]
+                none = pa.array([[]] * len(h), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.ones(len(h), bool)), pa.array(np.ones(len(h), np.int64)), none], names=names)
 
     rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "h long, item_id long, item_at long, size int, needed long, item_slots array<long>")
+    return rows.mapInArrow(run, "h long, item_id long, item_at long, size int, plain boolean, needed long, item_slots array<long>")
 
 
-def document_windows(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
-    """doc_id, h, doc_at, doc_slots of the windows that the bitmap lets pass."""
+def document_windows(docs: DataFrame, wanted: np.ndarray, sizes: list[tuple[int, bool]]) -> DataFrame:
+    """doc_id, text_hash, h, doc_at, doc_slots of the windows that the bitmap lets pass."""
 
     def run(batches):
         for batch in batches:
             whole, all_offsets = C.buffers(batch.column("text"))
             for a, b in C.chunks(all_offsets):
                 data, offsets = whole[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
-                for size in sizes:
-                    first, h, value, slot, at = windows(data, offsets, size)
+                for size, plain in sizes:
+                    if plain:
+                        first, h, _, at = runs(data, offsets, size)
+                    else:
+                        first, h, value, slot, at = windows(data, offsets, size)
                     held = B.passes(wanted, h)
                     first, h = first[held], h[held]
                     row = np.searchsorted(at, first, "right") - 1
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + a)), pa.array(h.view(np.int64)), pa.array((first - at[row]).astype(np.int64)), _slots(first, size, value, slot)], names=["doc_id", "h", "doc_at", "doc_slots"])
+                    of = pa.array(row + a)
+                    slots = pa.array([[]] * len(h), pa.list_(pa.int64())) if plain else _slots(first, size, value, slot)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_hash").take(of), pa.array(h.view(np.int64)), pa.array((first - at[row]).astype(np.int64)), slots], names=["doc_id", "text_hash", "h", "doc_at", "doc_slots"])
 
-    return C.texts(docs).mapInArrow(run, "doc_id long, h long, doc_at long, doc_slots array<long>")
+    rows = C.texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, h long, doc_at long, doc_slots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -153,11 +192,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     alignment, n_slots, and whether all slots hold the item's own values (exact)."""
     C.tune(docs.sparkSession)
     ours = C.checkpoint(benchmark_windows(benchmark))
-    sizes = sorted(r["size"] for r in ours.select("size").distinct().collect())
+    sizes = sorted((r["size"], r["plain"]) for r in ours.select("size", "plain").distinct().collect())
     few = ours.count() <= BROADCAST_ROWS
     theirs = document_windows(docs, B.build(ours, F.col("h")), sizes)
     met = theirs.join(F.broadcast(ours) if few else ours, "h")
-    aligned = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
+    aligned = met.groupBy("doc_id", "text_hash", "item_id", "plain", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.size(F.collect_set("doc_at")).alias("n_windows"), F.max("needed").alias("needed"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))).alias("pairs"),
     )

@@ -105,6 +105,21 @@ def test_templates_and_slots(spark):
     assert found[1].exact and not found[2].exact and found[2].n_slots >= 5
 
 
+def test_items_that_templates_cannot_tell(spark):
+    items = [
+        (1, "What is 12 + 345 * 7 - 18 / 3 + 44"), (2, "Ada Lovelace, Alan Turing, Grace Hopper, Kurt Godel, Emmy Noether, John Neumann, Max Planck, Lise Meitner"),
+        (3, "Name the capital"), (4, "Seven birds sat upon the old wall"), (5, "On 3 May 1999 and 4 June 2001 rain fell all day here"),
+    ]
+    half = "one stone bridge crosses the wide river near our little town where children often play"
+    items.append((6, half))
+    held = {k: f"lead in, {t.lower() if k == 4 else t}, and more of it" for k, t in items}
+    words = half.split()
+    halves = [(9, " ".join(words[:11])), (9, " ".join(["x", "z", *words[2:13]]))]
+    docs = spark.createDataFrame([*held.items(), (8, "nothing of the kind 12 + 345 - 7"), *halves], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k in held}  # 9: two rows hold parts of the item, and neither enough of it
+
+
 @pytest.mark.parametrize("module", [suffix, licenses, warc])
 def test_against_sql(spark, duck, module):
     for name, sql in module.ORACLES.items():
