@@ -358,12 +358,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, of which the first document of each class stays.
-    Rows without a doc_id stay; of rows that repeat a doc_id and text one stays."""
-    found = C.checkpoint(classes(docs))
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
-    kept = docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
-    again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    """The rows of `docs`, all columns, of which the first row of each class stays: that of the least
+    doc_id, rows without one last, and then by text hash. Rows are told apart by doc_id and text, so
+    rows that repeat a doc_id, or have none, get their own verdicts; of rows with equal doc_id and
+    text one stays."""
+    row_id = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
+    own = C.checkpoint(docs.select(row_id.alias("doc_id"), docs["doc_id"].cast("long").alias("named")))
+    found = C.checkpoint(classes(docs.select(row_id.alias("doc_id"), "text")))
+    rows = found.select("doc_id", "class_id").distinct().join(own.distinct(), "doc_id")
+    order = F.struct(F.col("named").isNull().alias("nameless"), "named", "doc_id")
+    first = rows.groupBy("class_id").agg(F.min(order)["doc_id"].alias("first"))
+    gone = rows.join(first, "class_id").filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
+    kept = docs.join(gone, row_id == gone[gone.columns[0]], "left_anti")
+    again = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 

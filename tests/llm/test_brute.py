@@ -405,6 +405,18 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_one_of_each_by_row(spark):
+    a, b, c = prose(70, 120), prose(71, 120), prose(72, 120)
+    near_a, near_c = a + " more", c + " more"
+    rows = [(3, a), (5, near_a), (5, b), (6, c), (6, near_c), (None, prose(73, 120)), (None, prose(73, 120)), (None, near_a), (7, ""), (8, None)]
+    for part in (rows, rows[5:7]):  # what stays of null ids does not turn on other rows
+        docs = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        kept = [tuple(r) for r in near.one_of_each(docs).collect()]
+        ours = {(3, a), (5, b), (7, ""), (8, None), (None, prose(73, 120))} & set(part)
+        assert ours <= set(kept) and len(kept) == len(ours) + (part is rows)  # and one of doc_id 6
+        assert sum(d == 6 for d, _ in kept) == (part is rows)
+
+
 def test_warc_finds_corruption(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     stored = warc.records(pages)
