@@ -26,10 +26,6 @@ ARROW_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A fixed pseudo-random 64-bit value for every byte.
-BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,8 +70,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Bytes of files up to which a table that lies in fewer files than there are cores is dealt anew.
+SPREAD_BYTES = 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; a small one in few files is dealt to all cores."""
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SPREAD_BYTES and len(rows.inputFiles()) < cores else rows
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -91,6 +95,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is hot if it holds more than one in so many of the rows; so there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`many` joined with `one`, which has each key once, where some keys may hold most rows of
+    `many`: the rows of hot keys meet a broadcast table of at most `HOT_SHARE` keys where they lie;
+    only the others are shuffled. `how`: inner or left. `many` is evaluated twice: pass a frame
+    that is checkpointed or cheap."""
+    total = many.count()
+    hot = many.groupBy(key).count().filter(F.col("count") * HOT_SHARE > total).select(key)
+    names = [r[0] for r in hot.collect()]
+    if not names or total < HOT_SHARE:
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(*names), F.lit(False))
+    return many.filter(~is_hot).join(one, key, how).unionByName(many.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, how))
+
+
 def text_bytes(spark_df: DataFrame) -> int:
     """Bytes of all texts: what shard counts are derived from."""
     return int(spark_df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
@@ -121,20 +143,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         first = last
 
 
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place."""
     x ^= x >> U64(33)
@@ -145,19 +153,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; see `span_hash`."""
-    out = np.empty(len(data) + 1, U64)
-    out[0] = 0
-    np.cumsum(BYTE_VALUES[data] * powers(len(data))[0][: len(data)], out=out[1:])
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of `data` on, as one little-endian number; zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).copy()
+
+
+#: Bytes that `span_hash` takes one after another; longer spans are hashed by pieces.
+_PIECE = 1024
+
+
+def span_hash(at: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), wherever they lie; `at` comes from `loads`.
+    Eight bytes at a time are mixed in by steps that are not linear, so that texts with a regular
+    structure collide no more than others."""
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    salt = (0x9E3779B97F4A7C15 * (2 * seed + 1)) % (1 << 64)
+    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(salt))
+    long = np.flatnonzero(size > _PIECE)
+    if len(long):
+        pieces = -(-size[long] // _PIECE)
+        first = np.repeat(start[long], pieces) + _PIECE * ragged(np.zeros(len(long), np.int64), pieces)
+        last = np.minimum(first + _PIECE, np.repeat(start[long] + size[long], pieces))
+        inner = span_hash(at, first, last, seed)
+        ends = 8 * np.cumsum(pieces)
+        out[long] = mix(span_hash(loads(inner.view(np.uint8)), ends - 8 * pieces, ends, seed) ^ out[long])
+        rest = np.flatnonzero(size <= _PIECE)
+    else:
+        rest = np.arange(len(size))
+    place, left = start[rest], size[rest]
+    own = out[rest]
+    open_ = np.flatnonzero(left > 0)
+    while len(open_):
+        n = left[open_]
+        word = at[place[open_]]
+        short = n < 8
+        word[short] &= (U64(1) << (n[short] * 8).astype(U64)) - U64(1)
+        own[open_] = mix((own[open_] ^ word) * U64(salt)) + U64(0xA0761D6478BD642F)
+        left[open_] -= 8
+        place[open_] += 8
+        open_ = open_[n > 8]
+    out[rest] = mix(own)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), wherever they lie."""
-    h = (prefix[end] - prefix[start]) * powers(len(prefix) - 1)[1][start]
-    h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(h)
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes from `a` and from `b` hold the same bytes."""
+    if not len(size):
+        return np.zeros(0, bool)
+    differ = data[ragged(a, size)] != data[ragged(b, size)]
+    total = np.concatenate([[0], np.cumsum(differ)])
+    ends = np.cumsum(size)
+    return total[ends] == total[ends - size]
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

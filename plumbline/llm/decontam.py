@@ -54,7 +54,7 @@ _STEP = pow(0xD1342543DE82EF95, 1, 1 << 64)
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer("".join(UNITS).encode(), np.uint8)
     ends = np.cumsum([len(u) for u in UNITS])
-    return np.sort(C.span_hash(C.prefix_hash(data), ends - [len(u) for u in UNITS], ends))
+    return np.sort(C.span_hash(C.loads(data), ends - [len(u) for u in UNITS], ends))
 
 
 _UNIT_HASHES = _unit_hashes()
@@ -69,7 +69,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
         inside[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
     start, end, at = C.spans(inside, offsets)
     n = len(start)
-    value = C.span_hash(C.prefix_hash(C.LOWER[data]), start, end)
+    value = C.span_hash(C.loads(C.LOWER[data]), start, end)
     if not n:
         return value, value, np.zeros(0, bool), at
     letters = np.concatenate([[0], np.cumsum(_UPPER[data] | _LOWERS[data])])

@@ -14,15 +14,27 @@ import heapq
 import numpy as np
 
 SIZE, WIDTH = 32, 128
-STREAMS, STEPS = 64, 24
-RATE, CLIP = 0.01, 5.0
+#: Streams learnt side by side, and steps of truncated backpropagation.
+STREAMS, STEPS = 128, 24
+RATE, CLIP = 0.02, 5.0
 #: Streams of text scored side by side, and steps between two computations of the output.
 LANES, WINDOW = 512, 32
 _F = np.float32
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Exponentials in place; their sums."""
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    return x.sum(1)
 
 
 class Gru:
@@ -45,6 +57,7 @@ class Gru:
         grouped = padded.reshape(self.groups, WIDTH)
         whole = np.r_[grouped.sum(1), counts[head:] + 0.5]
         self.class_bias = np.log(whole / whole.sum()).astype(_F)
+        self.moments, self.updates = None, 0
         with np.errstate(divide="ignore"):
             self.word_bias = np.maximum(np.log(grouped / grouped.sum(1, keepdims=True)), -30).astype(_F)
 
@@ -70,30 +83,38 @@ class Gru:
         """One step: the new state and what the way back needs."""
         own = h @ self.state
         zr = _sigmoid(gates[:, : 2 * SIZE] + own[:, : 2 * SIZE])
-        z, r = zr[:, :SIZE], zr[:, SIZE:]
-        n = np.tanh(gates[:, 2 * SIZE :] + r * own[:, 2 * SIZE :])
-        return n + z * (h - n), (z, r, n, own[:, 2 * SIZE :])
+        z, r, o = zr[:, :SIZE], zr[:, SIZE:], own[:, 2 * SIZE :]
+        n = r * o
+        n += gates[:, 2 * SIZE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, (z, r, n, o)
+
+    def _by_class(self, target: np.ndarray):
+        """The classes of the targets, an order by class, and where the groups of words begin in it."""
+        kind = self.class_of(target).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        return kind, order, np.searchsorted(kind[order], np.arange(self.groups + 1))
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(target | state) for rows of states."""
-        kind = self.class_of(target)
+        kind, order, edges = self._by_class(target)
         logits = h @ self.classes
         logits += self.class_bias
-        np.minimum(logits, 80, out=logits)
-        out = logits[np.arange(len(h)), kind].astype(float)
-        np.exp(logits, out=logits)
-        out -= np.log(logits.sum(1))
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.groups + 1))
+        out = np.minimum(logits[np.arange(len(h)), kind], 80).astype(float)
+        out -= np.log(_softmax(logits))
+        held, place = h[order[: edges[-1]]], target[order[: edges[-1]]] % WIDTH
+        inside = np.zeros(len(held))
         for c in range(self.groups):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                inner = h[at] @ self.vectors[c * WIDTH : (c + 1) * WIDTH].T
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                inner = held[a:b] @ self.vectors[c * WIDTH : (c + 1) * WIDTH].T
                 inner += self.word_bias[c]
-                np.minimum(inner, 80, out=inner)
-                chosen = inner[np.arange(len(at)), target[at] - c * WIDTH].astype(float)
-                np.exp(inner, out=inner)
-                out[at] += chosen - np.log(inner.sum(1))
+                chosen = np.minimum(inner[np.arange(b - a), place[a:b]], 80)
+                inside[a:b] = chosen - np.log(_softmax(inner))
+        out[order[: edges[-1]]] += inside
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -115,15 +136,15 @@ class Gru:
         order = np.argsort(-load, kind="stable")
         load = load[order]
         most = int(load[0])
-        before, after = (np.zeros((lanes, most), np.int32) for _ in range(2))
-        owner = np.zeros((lanes, most), np.int32)
+        before, after = (np.zeros((most, lanes), np.int32) for _ in range(2))
+        owner = np.zeros((most, lanes), np.int32)
         for lane, k in enumerate(order.tolist()):
             at = 0
             for t in held[k]:
                 n = len(texts[t])
-                before[lane, at + 1 : at + n + 1] = texts[t]
-                after[lane, at : at + n] = texts[t]
-                owner[lane, at : at + n + 1] = t
+                before[at + 1 : at + n + 1, lane] = texts[t]
+                after[at : at + n, lane] = texts[t]
+                owner[at : at + n + 1, lane] = t
                 at += n + 1
         table = self.vectors @ self.input + self.bias
         h = np.zeros((lanes, SIZE), _F)
@@ -131,93 +152,117 @@ class Gru:
             t1 = min(t0 + WINDOW, most)
             active = int(np.searchsorted(-load, -t0, "left"))
             h = h[:active]
-            states = np.zeros((active, t1 - t0, SIZE), _F)
-            ids = before[:active, t0:t1]
-            rows = self.rows(ids)
+            states = np.zeros((t1 - t0, active, SIZE), _F)
+            ids = before[t0:t1, :active]
+            gates, go = table[self.rows(ids)], (ids != 0).astype(_F)[:, :, None]
             for t in range(t1 - t0):
-                h = h * (ids[:, t] != 0)[:, None].astype(_F)
-                h, _ = self.step(table[rows[:, t]], h)
-                states[:, t] = h
-            inside = np.arange(t0, t1)[None, :] < load[:active, None]
-            logs = self.log_probabilities(states[inside], after[:active, t0:t1][inside])
-            out += np.bincount(owner[:active, t0:t1][inside], logs, len(texts))
+                h, _ = self.step(gates[t], h * go[t])
+                states[t] = h
+            inside = np.arange(t0, t1)[:, None] < load[None, :active]
+            logs = self.log_probabilities(states[inside], after[t0:t1, :active][inside])
+            out += np.bincount(owner[t0:t1, :active][inside], logs, len(texts))
         return out
 
     def learn(self, texts: list[np.ndarray], rate: float = RATE) -> int:
         """One pass of truncated backpropagation through time with Adam over all the texts, dealt
-        to streams whose state is carried from window to window. Returns the tokens learnt."""
+        to streams whose state is carried from window to window. Adam's moments are kept from call to
+        call. Returns the tokens learnt."""
         if not texts:
             return 0
-        stream = np.concatenate([np.r_[t, 0] for t in texts]).astype(np.int64)
+        stream = np.concatenate([np.r_[t, 0] for t in texts]).astype(np.int32)
         told, lanes = len(stream), min(STREAMS, len(stream))
         per = -(-told // lanes)
         stream = np.resize(stream, per * lanes)  # streams of one length: the first tokens fill the last
-        after = stream.reshape(lanes, per)
-        before = np.concatenate([np.zeros(1, np.int64), stream[:-1]]).reshape(lanes, per)
-        first = {n: np.zeros_like(getattr(self, n)) for n in self.names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in self.names}
-        h, k = np.zeros((lanes, SIZE), _F), 0
+        before = np.concatenate([np.zeros(1, np.int32), stream[:-1]])
+        after, before = (np.ascontiguousarray(x.reshape(lanes, per).T) for x in (stream, before))
+        self.moments = self.moments or [{n: np.zeros_like(getattr(self, n)) for n in self.names} for _ in range(2)]
+        first, second = self.moments
+        h = np.zeros((lanes, SIZE), _F)
         for t0 in range(0, per, STEPS):
-            ids, target = before[:, t0 : t0 + STEPS], after[:, t0 : t0 + STEPS]
-            grads, h = self._window(ids, target, h)
-            k += 1
+            grads, h = self._window(before[t0 : t0 + STEPS], after[t0 : t0 + STEPS], h)
+            self.updates += 1
+            k = self.updates
+            scale = _F(rate * (1 - 0.999**k) ** 0.5 / (1 - 0.9**k))
             for n, g in grads.items():
                 np.clip(g, -CLIP, CLIP, out=g)
-                first[n] += 0.1 * (g - first[n])
-                second[n] += 0.001 * (g * g - second[n])
-                scale = rate * (1 - 0.999**k) ** 0.5 / (1 - 0.9**k)
-                getattr(self, n)[...] -= scale * first[n] / (np.sqrt(second[n]) + 1e-8)
+                first[n] *= _F(0.9)
+                second[n] *= _F(0.999)
+                first[n] += _F(0.1) * g
+                np.square(g, out=g)
+                g *= _F(0.001)
+                second[n] += g
+                np.sqrt(second[n], out=g)
+                g += _F(1e-8)
+                np.divide(first[n], g, out=g)
+                g *= scale
+                getattr(self, n)[...] -= g
         return told
 
     def _window(self, ids, target, h):
-        lanes, steps = ids.shape
+        steps, lanes = ids.shape
         rows = self.rows(ids)
-        table = self.vectors[rows] @ self.input + self.bias
+        used = self.vectors[rows.ravel()]
+        gates = (used @ self.input + self.bias).reshape(steps, lanes, 3 * SIZE)
         go = (ids != 0).astype(_F)[:, :, None]
-        kept, states = [], np.zeros((lanes, steps, SIZE), _F)
+        kept, states = [], np.zeros((steps, lanes, SIZE), _F)
         for t in range(steps):
-            old = h * go[:, t]
-            h, saved = self.step(table[:, t], old)
+            old = h * go[t]
+            h, saved = self.step(gates[t], old)
             kept.append((old, *saved))
-            states[:, t] = h
+            states[t] = h
         flat, goal = states.reshape(-1, SIZE), target.ravel()
         size = _F(1 / len(flat))
-        kind = self.class_of(goal)
-        p = np.exp(flat @ self.classes + self.class_bias)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(flat)), kind] -= 1
-        p *= size
+        kind, order, edges = self._by_class(goal)
+        p = flat @ self.classes
+        p += self.class_bias
+        p *= (size / _softmax(p))[:, None]
+        p[np.arange(len(flat)), kind] -= size
         grads = {n: np.zeros_like(getattr(self, n)) for n in self.names}
         grads["classes"], grads["class_bias"] = flat.T @ p, p.sum(0)
         back = p @ self.classes.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.groups + 1))
+        held, place = flat[order[: edges[-1]]], goal[order[: edges[-1]]] % WIDTH
+        inside = np.zeros_like(held)
         for c in range(self.groups):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
+            a, b = edges[c], edges[c + 1]
+            if a < b:
                 words = self.vectors[c * WIDTH : (c + 1) * WIDTH]
-                q = np.exp(flat[at] @ words.T + self.word_bias[c])
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), goal[at] - c * WIDTH] -= 1
-                q *= size
-                grads["vectors"][c * WIDTH : (c + 1) * WIDTH] += q.T @ flat[at]
-                grads["word_bias"][c] += q.sum(0)
-                back[at] += q @ words
-        back = back.reshape(lanes, steps, SIZE)
-        d_table, dh = np.zeros((lanes, steps, 3 * SIZE), _F), np.zeros((lanes, SIZE), _F)
+                q = held[a:b] @ words.T
+                q += self.word_bias[c]
+                q *= (size / _softmax(q))[:, None]
+                q[np.arange(b - a), place[a:b]] -= size
+                grads["vectors"][c * WIDTH : (c + 1) * WIDTH] = q.T @ held[a:b]
+                grads["word_bias"][c] = q.sum(0)
+                np.matmul(q, words, out=inside[a:b])
+        back[order[: edges[-1]]] += inside
+        back = back.reshape(steps, lanes, SIZE)
+        d_gates, d_own = (np.zeros((steps, lanes, 3 * SIZE), _F) for _ in range(2))
+        dh = np.zeros((lanes, SIZE), _F)
+        turned = np.ascontiguousarray(self.state.T)
         for t in range(steps - 1, -1, -1):
             old, z, r, n, own = kept[t]
-            dh = dh + back[:, t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (old - n) * z * (1 - z)
-            dr = dn * own * r * (1 - r)
-            d_table[:, t] = np.concatenate([dz, dr, dn], 1)
-            d_own = np.concatenate([dz, dr, dn * r], 1)
-            grads["state"] += old.T @ d_own
-            dh = (dh * z + d_own @ self.state.T) * go[:, t]
-        flat_d = d_table.reshape(-1, 3 * SIZE)
-        grads["bias"] += flat_d.sum(0)
-        used = rows.ravel()
-        grads["input"] += self.vectors[used].T @ flat_d
-        np.add.at(grads["vectors"], used, flat_d @ self.input.T)
+            dh += back[t]
+            keep = dh * z
+            dn = dh - keep
+            dn *= 1 - n * n
+            dz = dh * (old - n)
+            dz *= z * (1 - z)
+            dr = dn * own
+            dr *= r * (1 - r)
+            g, o = d_gates[t], d_own[t]
+            g[:, :SIZE] = o[:, :SIZE] = dz
+            g[:, SIZE : 2 * SIZE] = o[:, SIZE : 2 * SIZE] = dr
+            g[:, 2 * SIZE :] = dn
+            np.multiply(dn, r, out=o[:, 2 * SIZE :])
+            keep += o @ turned
+            dh = keep * go[t]
+        flat_d = d_gates.reshape(-1, 3 * SIZE)
+        olds = np.concatenate([k[0] for k in kept])
+        grads["state"] = olds.T @ d_own.reshape(-1, 3 * SIZE)
+        grads["bias"] = flat_d.sum(0)
+        grads["input"] = used.T @ flat_d
+        back = flat_d @ self.input.T
+        order = np.argsort(rows.ravel(), kind="stable")
+        at = rows.ravel()[order]
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        grads["vectors"][at[begin]] += np.add.reduceat(back[order], begin, axis=0)
         return grads, h

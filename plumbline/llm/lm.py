@@ -8,16 +8,18 @@ words of that class. So the model is a distribution over the words seen and an u
 one per class. The counts of the `KNOWN` most frequent words, a table of that size, are
 sent to all tasks; the others' occurrences go to the shard that has their count.
 
-The network learns in rounds: each task trains a copy on all tokens of its training
-documents, in pieces of about `LEARN_TOKENS` one after another, and the copies are averaged
-in a tree of `FAN` at a time. So each round learns every training token, however the
-input is split; counts cover all of it too. Documents are scored whole,
-side by side on lanes, with the state carried from window to window.
+Texts are encoded once, as two-byte ids of the network. The network learns in `ROUNDS`
+rounds from all training documents, each of them in one round, chosen by a hash of its
+doc_id: in a round the documents are dealt by doc_id to parts, each part trains a copy of
+the network on all of its tokens in the order of doc_id, and the copies are averaged, weighted by
+tokens, in a tree of `FAN` at a time. The number of parts follows from the number of training
+tokens alone, so that the weights do not depend on how the input is split. Documents are
+scored whole, side by side on lanes, with the state carried from window to window.
 
 Defined cases: a null text is empty, and has its end only; a null doc_id counts as held
 out; rows that repeat a doc_id are scored each, and train each; without training
 documents every base probability is 1 and the network has only its first weights; an
-empty table has no rows. Other columns are ignored.
+empty table has no rows. Rows that share a doc_id train in one part. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +32,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .gru import Gru
+from .gru import RATE, Gru
 
 HEAD, KNOWN, TAILS = 8192, 1 << 18, 64
-ROUNDS, LEARN_TOKENS, FAN = 2, 150_000, 8
+ROUNDS, FAN = 2, 8
+#: Training tokens for each part of a round, while there are at most `MOST_PARTS`; beyond that for
+#: each part, so that the copies to be averaged stay small beside the corpus.
+PART_TOKENS, MOST_PARTS, LARGE_PART = 1_000_000, 512, 32_000_000
+#: Tokens that a part holds in memory while it learns them.
+PIECE = 400_000
 SHARD_BYTES = 8 << 20
 #: Tokens that a task scores at a time.
 POOL = 2_000_000
 
 COUNT = np.dtype([("word", "<u8"), ("n", "<u8"), ("tail", "u1")])
+ID = np.dtype("<u2")
 RARE = np.dtype([("word", "<u8"), ("row", "<i8"), ("n", "<u4")])
-_SHARDED = "shard int, uid long, blob binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,7 +58,7 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     """Hash and tail class of each word, and the rows' offsets among the words."""
     low = C.LOWER[data]
     start, end, at = C.words(low, offsets)
-    h = C.span_hash(C.prefix_hash(low), start, end)
+    h = C.span_hash(C.loads(low), start, end)
     last = low[end - 1].astype(np.int64) * 31 + low[np.maximum(end - 2, start)] * 7 if len(end) else np.zeros(0, np.int64)
     return h, (last * 40503 % 65536 >> 4) % TAILS, at
 
@@ -163,112 +170,133 @@ def _texts(batch, vocabulary: Vocabulary):
 
 
 def _averaged(copies: DataFrame) -> tuple[np.ndarray, int]:
-    """The mean of the copies, weighted by tokens, `FAN` at a time."""
+    """The mean of the copies, weighted by tokens, `FAN` at a time, in the order of k."""
+
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
         weights = table.column("tokens").to_pylist()
         total = np.zeros(1)
         for w, blob in zip(weights, table.column("blob").to_pylist(), strict=True):
             total = total + w * np.frombuffer(blob, np.float32).astype(np.float64)
         out = (total / max(sum(weights), 1)).astype(np.float32)
-        return pa.table({"k": pa.array([table.column("k")[0].as_py()], pa.int64()), "tokens": pa.array([sum(weights)], pa.int64()), "blob": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"k": pa.array([table.column("k")[0].as_py() // FAN], pa.int64()), "tokens": pa.array([sum(weights)], pa.int64()), "blob": pa.array([out.tobytes()], pa.binary())})
 
     left = copies.count()
     while left > 1:
-        copies = copies.withColumn("k", F.floor(F.col("k") / FAN)).groupBy("k").applyInArrow(mean, "k long, tokens long, blob binary")
-        copies = C.checkpoint(copies)
+        copies = C.checkpoint(copies.groupBy(F.floor(F.col("k") / FAN)).applyInArrow(mean, "k long, tokens long, blob binary"))
         left = copies.count()
     row = copies.first()
     return (np.frombuffer(row.blob, np.float32), row.tokens) if row else (np.zeros(0, np.float32), 0)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds: int = ROUNDS, tokens: int = LEARN_TOKENS) -> Gru:
-    model = Gru(vocabulary.head, TAILS, counts)
+def parts_of(tokens: int) -> int:
+    """Parts, and so copies of the network, in a round."""
+    return max(1, min(MOST_PARTS, math.ceil(tokens / PART_TOKENS)), math.ceil(tokens / LARGE_PART))
+
+
+def train(encoded: DataFrame, head: int, counts: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Gru:
+    """A network for the encoded training documents (doc_id, ids), which hold `tokens`."""
+    model, parts = Gru(head, TAILS, counts), parts_of(tokens // rounds)
     for k in range(rounds):
-        now, rate = model.flat(), 0.01 / 2**k
+        now, rate = model.flat(), RATE / 2**k
 
         def learn(batches, now=now, rate=rate):
+            from pyspark import TaskContext
+
             own, learnt, seen, texts = None, 0, 0, []
 
             def piece():
                 nonlocal own, learnt
-                own = own or Gru(vocabulary.head, TAILS, counts).load(now)
+                own = own or Gru(head, TAILS, counts).load(now)
                 learnt += own.learn(texts, rate)
 
             for batch in batches:
-                for _, _, ids, _, _, back, at in _texts(batch, vocabulary):
-                    line = ids[back]
-                    texts += [line[at[i] : at[i + 1]] for i in range(len(at) - 1)]
-                    seen += len(line) + len(at) - 1
-                    if seen >= tokens:
+                for blob in batch.column("ids").to_pylist():
+                    texts.append(np.frombuffer(blob, ID))
+                    seen += len(texts[-1]) + 1
+                    if seen >= PIECE:
                         piece()
                         seen, texts = 0, []
             if texts:
                 piece()
             if learnt:
-                from pyspark import TaskContext
-
                 part = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([learnt], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["k", "tokens", "blob"])
 
-        copies = C.checkpoint(docs.select("text").mapInArrow(learn, "k long, tokens long, blob binary"))
-        flat, learnt = _averaged(copies)
+        mine = encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("doc_id", "ids")
+        dealt = mine.repartition(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
+        flat, learnt = _averaged(C.checkpoint(dealt.select("ids").mapInArrow(learn, "k long, tokens long, blob binary")))
         if learnt:
             model.load(flat)
     return model
 
 
-class Scorer:
-    """What a task needs to score: vocabulary, network, and the totals of training."""
+class Totals:
+    """Counts of training that every task needs."""
 
-    def __init__(self, vocabulary, model, tail_tokens, tail_words, ends):
-        self.vocabulary, self.model, self.ends = vocabulary, model, ends
-        self.tail_log = np.log10(tail_tokens + 0.5 * (tail_words + 1))
+    def __init__(self, tail_tokens: np.ndarray, tail_words: np.ndarray, ends: int):
+        self.tail_log, self.ends = np.log10(tail_tokens + 0.5 * (tail_words + 1)), ends
 
 
-def _score(docs: DataFrame, scorer: Scorer, shards: int) -> DataFrame:
-    """Rows of documents (shard null): uid, doc_id, n_tokens, n_known, logs (of base counts),
-    score; and of shards: the words counted there, by uid."""
-    names = ["shard", "uid", "doc_id", "n_tokens", "n_known", "logs", "score", "blob"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+_ENCODED = "shard int, uid long, doc_id long, n_tokens long, n_known long, logs double, tails double, blob binary"
+
 
-    def told(pool):
-        uids, ids_, docs_, known, logs, tails, rare = (list(x) for x in zip(*pool, strict=True))
-        found = scorer.model.score(ids_) / math.log(10)
-        rows = [(None, u, d, len(t) + 1, int(k), float(lg), float(s + tl), None) for u, d, t, k, lg, s, tl in zip(uids, docs_, ids_, known, logs, found, tails, strict=True)]
-        parts = [r for r in rare if len(r)]
-        rows += [(k, None, None, None, None, None, None, blob) for k, blob in _dealt(np.concatenate(parts), shards)] if parts else []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def encode(docs: DataFrame, vocabulary: Vocabulary, totals: Totals, shards: int) -> DataFrame:
+    """Rows of documents (shard null): uid, doc_id, n_tokens, n_known, logs (of base counts), tails
+    (what words outside the network add to its score) and the ids; and of shards: the words
+    counted there, by uid."""
+    if vocabulary.head + TAILS > 1 << 16:
+        raise ValueError("ids have two bytes")
+    names = [x.split()[0] for x in _ENCODED.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    end_log, end_known = math.log10(totals.ends + 0.5), int(totals.ends > 0)
 
     def run(batches):
-        pool, size = [], 0
-        end_log, end_known = math.log10(scorer.ends + 0.5), int(scorer.ends > 0)
         for batch in batches:
             uid, doc = np.asarray(batch.column("uid")), batch.column("doc_id").to_pylist()
-            for a, b, ids, n, word, back, at in _texts(batch, scorer.vocabulary):
+            for a, b, ids, n, word, back, at in _texts(batch, vocabulary):
                 line, count = ids[back], n[back]
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 here = count >= 0
-                log = np.log10(np.maximum(count, 0) + 0.5)
-                logs = np.bincount(row, np.where(here, log, 0), b - a) + end_log
-                known = np.bincount(row, here & (count > 0), b - a) + end_known
-                tail = line >= scorer.vocabulary.head
-                tails = np.bincount(row, np.where(tail, np.where(here, log, 0) - scorer.tail_log[np.maximum(line - scorer.vocabulary.head, 0)], 0), b - a)
+                log = np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0)
+                logs = np.bincount(row, log, b - a) + end_log
+                known = (np.bincount(row, here & (count > 0), b - a) + end_known).astype(int)
+                tail = line >= vocabulary.head
+                tails = np.bincount(row, np.where(tail, log - totals.tail_log[np.maximum(line - vocabulary.head, 0)], 0), b - a)
                 away = np.flatnonzero(~here)
                 key, times = np.unique(row[away].astype(np.int64) << 32 | back[away], return_counts=True)
                 rare = np.zeros(len(key), RARE)
                 rare["word"], rare["row"], rare["n"] = word[key & 0xFFFFFFFF], uid[a + (key >> 32)], times
-                edges = np.searchsorted(key >> 32, np.arange(b - a + 1))
-                for i in range(b - a):
-                    pool.append((int(uid[a + i]), line[at[i] : at[i + 1]], doc[a + i], known[i], logs[i], tails[i], rare[edges[i] : edges[i + 1]]))
-                size += len(line) + b - a
-                if size >= POOL:
-                    yield told(pool)
-                    pool, size = [], 0
-        if pool:
-            yield told(pool)
+                line = line.astype(ID)
+                rows = [(None, int(uid[a + i]), doc[a + i], int(at[i + 1] - at[i]) + 1, int(known[i]), float(logs[i]), float(tails[i]), line[at[i] : at[i + 1]].tobytes()) for i in range(b - a)]
+                rows += [(k, None, None, None, None, None, None, blob) for k, blob in _dealt(rare, shards)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, _ENCODED)
+
+
+def network_scores(encoded: DataFrame, model: Gru) -> DataFrame:
+    """uid, doc_id, n_tokens, n_known, logs, and the network's score with `tails`."""
+    names = ["uid", "doc_id", "n_tokens", "n_known", "logs"]
+
+    def run(batches):
+        pool, size = [], 0
+
+        def told():
+            held = pa.Table.from_batches(pool).combine_chunks()
+            found = model.score([np.frombuffer(x, ID) for x in held.column("blob").to_pylist()]) / math.log(10)
+            return pa.RecordBatch.from_arrays([*(held.column(c).combine_chunks() for c in names), pa.array(found + np.asarray(held.column("tails")))], names=[*names, "score"])
+
+        for batch in batches:
+            pool.append(batch)
+            size += sum(batch.column("n_tokens").to_pylist())
+            if size >= POOL:
+                yield told()
+                pool, size = [], 0
+        if size:
+            yield told()
 
-    rows = docs.select("uid", "doc_id", "text")
-    return rows.mapInArrow(run, "shard int, uid long, doc_id long, n_tokens long, n_known long, logs double, score double, blob binary")
+    return encoded.select(*names, "tails", "blob").mapInArrow(run, "uid long, doc_id long, n_tokens long, n_known long, logs double, score double")
 
 
 def _rare(table: pa.Table) -> pa.Table:
@@ -297,12 +325,12 @@ def score(docs: DataFrame) -> DataFrame:
     known = most_frequent(counts, KNOWN)
     vocabulary = Vocabulary(known, HEAD)
     tail_tokens, tail_words = tail_totals(counts, known[:HEAD])
-    model = train(learnt, vocabulary, np.r_[ends, known["n"][:HEAD], tail_tokens].astype(float))
-    scorer = Scorer(vocabulary, model, tail_tokens, tail_words, ends)
-    told = C.checkpoint(_score(rows.withColumn("uid", F.monotonically_increasing_id()), scorer, shards))
+    told = C.checkpoint(encode(rows.withColumn("uid", F.monotonically_increasing_id()), vocabulary, Totals(tail_tokens, tail_words, ends), shards))
+    encoded = told.filter("shard IS NULL")
+    model = train(encoded.filter(~held_out(F.col("doc_id"))).withColumnRenamed("blob", "ids"), vocabulary.head, np.r_[ends, known["n"][:HEAD], tail_tokens].astype(float), tokens)
     apart = counts.select("shard", F.lit(0).alias("kind"), "blob").union(told.filter("shard IS NOT NULL").select("shard", F.lit(1).alias("kind"), "blob"))
     rare = apart.groupBy("shard").applyInArrow(_rare, "uid long, n_known long, logs double")
-    parts = told.filter("shard IS NULL").select("uid", "doc_id", "n_tokens", "n_known", "logs", "score").union(rare.select("uid", F.lit(None).cast("long"), F.lit(0).cast("long"), "n_known", "logs", F.col("logs").alias("score")))
+    parts = network_scores(encoded, model).union(rare.select("uid", F.lit(None).cast("long"), F.lit(0).cast("long"), "n_known", "logs", F.col("logs").alias("score")))
     whole = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
     per_token = math.log10(tokens + 0.5 * (distinct + 1))
     return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score")

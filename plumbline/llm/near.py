@@ -56,7 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Row, hash and weight of the distinct shingles, sorted by row and hash."""
     plain = _PLAIN[data]
     start, end, at = C.words(plain, offsets)
-    h, n = C.span_hash(C.prefix_hash(plain), start, end), len(start)
+    h, n = C.span_hash(C.loads(plain), start, end), len(start)
     counts = np.diff(at)
     row = np.repeat(np.arange(len(counts)), counts)
     keys, rows = [], []

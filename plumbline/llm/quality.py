@@ -47,7 +47,7 @@ def inputs(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[
     novel[1:] = shape[1:] != shape[:-1]
     novel[start] = True
     begins = np.concatenate([[0], np.cumsum(novel)])
-    hashes = [C.span_hash(C.prefix_hash(C.LOWER[data]), start, end), C.span_hash(C.prefix_hash(shape[novel]), begins[start], begins[end])]
+    hashes = [C.span_hash(C.loads(C.LOWER[data]), start, end), C.span_hash(C.loads(shape[novel]), begins[start], begins[end])]
     key = np.concatenate([row * HASHED + ((h ^ np.uint64(k)) >> np.uint64(64 - 14)).astype(np.int64) for k, h in enumerate(hashes)])
     key, count = np.unique(key, return_counts=True)
     which, value = key // HASHED, np.log1p(count)

@@ -60,7 +60,7 @@ def measure_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     rows = len(offsets) - 1
     start, end, at = C.words(data, offsets)
     n_words = np.diff(at)
-    prefix = C.prefix_hash(data)
+    prefix = C.loads(data)
     hashes = C.span_hash(prefix, start, end)
     inside = ~C.SPACE[data]
     word_chars = _per_row(inside & ((data & 0xC0) != 0x80), offsets)

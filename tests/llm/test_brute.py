@@ -8,9 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontam, gru, licenses, lm, near, quality, rules, secrets, suffix, warc
 from plumbline.llm import common as C
+from plumbline.llm.lm import Vocabulary
 
 from ..conftest import SMALL, same_rows
 from .corpus import IDS, clashing, odd, odd_rows, prose
@@ -70,6 +72,26 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_stored_levels_serve_further_batches(spark):
+    passage, other = prose(150, 60), prose(151, 60)
+    texts = {k: f"{prose(200 + k, 30)} {passage[k:]} {prose(300 + k, 20)} {other[: 200 + k]}" if k % 3 else prose(400 + k, 90) for k in range(30)}
+    want = removed(texts)
+    index = before = None
+    for part in range(3):
+        docs = spark.createDataFrame([(k, t) for k, t in texts.items() if k // 10 == part], "doc_id long, text string")
+        found, index = suffix.extend(docs, 4, index, before, digest=True)
+        got = {r.doc_id: r.n_removed for r in found.collect()}
+        assert got == {k: sum(want[k]) for k in got}
+        index = C.checkpoint(index)
+        before = docs if before is None else before.union(docs)
+    assert index.groupBy("shard", "level").count().filter("count > 1").count() == 0
+
+
+def test_extreme_ids_stay(spark):
+    docs = spark.createDataFrame([(-(2**63), prose(8, 40)), (None, prose(8, 40) + " x"), (2**63 - 1, "")], "doc_id long, text string")
+    assert {r.doc_id for r in suffix.deduplicate(docs, True).collect()} == {-(2**63), None, 2**63 - 1}
+
+
 def test_family_levels_are_logarithmic():
     family, seen = suffix.Family(), set()
     rng = np.random.default_rng(1)
@@ -81,7 +103,7 @@ def test_family_levels_are_logarithmic():
             assert again == (s in seen)
             seen.add(s)
         assert len(family.levels) <= 8
-    assert sorted(np.concatenate([x["segment"] for x in family.levels]).tolist()) == sorted(seen)
+    assert sorted(np.concatenate([x["segment"] for _, x in family.levels]).tolist()) == sorted(seen)
 
 
 def test_contamination(spark, docs, texts):
@@ -157,19 +179,73 @@ def test_language_model(spark, docs, texts, monkeypatch):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_network_learns_all_of_a_partition(spark):
-    early, late = [("ha lo mi " * 10,)] * 1100, [("ne re ta ku " * 10,)] * 1100  # more than one batch
-    docs = C.tune(spark).createDataFrame(early + late, "text string").coalesce(1)
+def test_network_learns_all_tokens_of_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 3000)
+    rows = [(k, "ha lo mi " * 10) for k in range(900)] + [(5000 + k, "ne re ta ku " * 10) for k in range(900)]
+    docs = C.tune(spark).createDataFrame(rows, "doc_id long, text string")
     words = lm.most_frequent(lm.count_words(docs, 2), 100)
-    vocabulary, counts = lm.Vocabulary(words, 100), np.r_[2200, words["n"], np.zeros(lm.TAILS)].astype(float)
-    batch = docs.filter("text LIKE 'ne%'").limit(1).toArrow().to_batches()[0]
+    vocabulary, counts = lm.Vocabulary(words, 100), np.r_[1800, words["n"], np.zeros(lm.TAILS)].astype(float)
+    totals = lm.Totals(np.zeros(lm.TAILS), np.zeros(lm.TAILS), 1800)
+
+    def network(of):
+        coded = lm.encode(of.withColumn("uid", F.monotonically_increasing_id()), vocabulary, totals, 2).filter("shard IS NULL")
+        return lm.train(coded.withColumnRenamed("blob", "ids"), vocabulary.head, counts, 70_000)
+
+    batch = docs.filter("doc_id = 5000").toArrow().to_batches()[0]
     text = [ids[back] for _, _, ids, _, _, back, _ in lm._texts(batch, vocabulary)]
-    whole, head = (lm.train(d, vocabulary, counts, 1, 2000).score(text)[0] for d in (docs, docs.filter("text LIKE 'ha%'")))
-    assert whole / 41 > head / 41 + 0.5, (whole, head)  # the order of the late words is learnt
+    whole, early = network(docs.coalesce(1)), network(docs.filter("doc_id < 5000"))
+    assert whole.score(text)[0] / 41 > early.score(text)[0] / 41 + 0.3  # the order of the late words is learnt
+    assert network(docs.repartition(7)).flat() == pytest.approx(whole.flat(), abs=1e-6)
+    assert [lm.parts_of(n) for n in (0, 10**6, 10**9, 10**12)] == [1, 1, 512, 31250]
     model = gru.Gru(101, lm.TAILS, np.ones(101 + lm.TAILS))
     assert model.learn([np.arange(1, 100)]) == 100  # no rest is left out
 
 
+def test_scores_word_by_word(spark, docs, texts, monkeypatch):
+    """The score of a network with given weights: one word after another, with the counts of a dictionary."""
+    monkeypatch.setattr(lm, "HEAD", 50)
+    kept = {}
+
+    def given(encoded, head, counts, tokens):
+        model = kept["model"] = gru.Gru(head, lm.TAILS, counts)
+        model.classes[:] = np.random.default_rng(3).normal(0, 0.3, model.classes.shape)
+        return model
+
+    monkeypatch.setattr(lm, "train", given)
+    monkeypatch.setattr(lm, "Vocabulary", lambda known, head: kept.setdefault("vocabulary", Vocabulary(known, head)))
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    model, vocabulary = kept["model"], kept["vocabulary"]
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    words = {d: t.encode().translate(low).split() for d, t in texts.items()}
+    counts = collections.Counter(w for d, ws in words.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in ws)
+
+    def coded(word):
+        h, tail, _ = lm._words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        return int(vocabulary.find(h, tail)[0][0])
+
+    ids = {w: coded(w) for ws in words.values() for w in ws}
+    tails = collections.Counter(), collections.Counter()
+    for w, n in counts.items():
+        if ids[w] >= model.head:
+            tails[0][ids[w]] += n
+            tails[1][ids[w]] += 1
+    for d in sorted(texts)[:12]:
+        h, total, before = np.zeros((1, gru.SIZE)), 0.0, 0
+        for w in [*words[d], None]:
+            k = ids[w] if w else 0
+            h, _ = model.step(model.vectors[model.rows(np.array([before]))] @ model.input + model.bias, h)
+            kind = int(model.class_of(np.array([k]))[0])
+            logits = (h @ model.classes + model.class_bias)[0]
+            total += logits[kind] - math.log(np.exp(logits).sum())
+            if k < model.head:
+                inner = (h @ model.vectors[kind * gru.WIDTH : (kind + 1) * gru.WIDTH].T + model.word_bias[kind])[0]
+                total += inner[k % gru.WIDTH] - math.log(np.exp(inner).sum())
+            else:
+                total += math.log((counts[w] + 0.5) / (tails[0][k] + 0.5 * (tails[1][k] + 1)))
+            before = k
+        assert got[d] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_network_sums_to_one_and_carries_state():
     model = gru.Gru(300, 7, np.arange(307) + 1.0)
     rng = np.random.default_rng(0)
@@ -198,14 +274,14 @@ def test_network_gradients(monkeypatch):
     for n in model.names:
         setattr(model, n, getattr(model, n).astype(float))
     rng = np.random.default_rng(0)
-    ids, target = rng.integers(0, 9, (2, 3, 5))
+    ids, target = rng.integers(0, 9, (2, 5, 3))
 
     def loss():
         h, total = np.zeros((3, 4)), 0.0
         table = model.vectors[model.rows(ids)] @ model.input + model.bias
         for t in range(5):
-            h, _ = model.step(table[:, t], h * (ids[:, t] != 0)[:, None])
-            total -= model.log_probabilities(h.copy(), target[:, t]).sum()
+            h, _ = model.step(table[t], h * (ids[t] != 0)[:, None])
+            total -= model.log_probabilities(h.copy(), target[t]).sum()
         return total / 15
 
     grads, _ = model._window(ids, target, np.zeros((3, 4)))

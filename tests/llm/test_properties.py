@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import bpe, near, rules, secrets, suffix
+from plumbline.llm import bpe, lm, near, rules, secrets, suffix
 from plumbline.llm import common as C
 
 from .test_brute import brute_rules, brute_secrets
@@ -52,7 +52,7 @@ def test_words(found):
     start, end, at = C.words(data, offsets)
     own = [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]
     assert [own[at[k] : at[k + 1]] for k in range(len(found))] == [t.encode().split() for t in found]
-    hashes = C.span_hash(C.prefix_hash(data), start, end)
+    hashes = C.span_hash(C.loads(data), start, end)
     assert len(set(zip(own, hashes.tolist(), strict=True))) == len(set(own)) == len(set(hashes.tolist()))
 
 
@@ -73,9 +73,9 @@ def test_repeats_through_a_family(cuts):
     docs = [pool[k][min(a, b) : max(a, b)] + pool[(k + 1) % 4][a : a + 130] for k, a, b in cuts]
     data = np.frombuffer(b"".join(docs), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    anchor, segment, row, start, more = suffix.entries(data, offsets)
+    anchor, segment, check, row, start, more = suffix.entries(data, offsets)
     rows = np.zeros(len(anchor), suffix.ENTRY)
-    rows["anchor"], rows["segment"], rows["doc"], rows["start"], rows["more"] = (anchor >> np.uint64(32)).astype(np.uint32), segment, row, start, more
+    rows["anchor"], rows["segment"], rows["check"], rows["doc"], rows["start"], rows["more"] = (anchor >> np.uint64(32)).astype(np.uint32), segment, check >> np.uint64(32), row, start, more
     rows = rows[np.lexsort((rows["start"], rows["doc"]))]
     family, spans = suffix.Family(), [set() for _ in docs]
     for k in range(0, len(rows), 7):
@@ -109,8 +109,34 @@ def test_nodes_are_weighted_sets(x, y):
     assert (grams[0] == grams[1]) == bool((nodes[0] == nodes[1]).all())
 
 
+def thue_morse(doublings: int) -> tuple[str, str]:
+    """A text of a and b in which polynomial hashes modulo powers of two meet its complement."""
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_words_differ():
+    for doublings in (7, 10, 13):
+        a, b = thue_morse(doublings)
+        pair, offsets = C.buffers(pa.array([f"{a} {b} {a}", f"{a}\n{b}\n{a}\n"]))
+        counts, _ = rules.measure_buffers(pair, offsets)
+        assert counts[:, 3].tolist() == [0, 1]  # repeated lines
+        start, end, _ = C.words(pair, offsets)
+        h = C.span_hash(C.loads(pair), start, end)
+        assert len(set(h.tolist())) == 2 and h[0] == h[2] != h[1]
+        assert len(set(lm._words(pair, offsets)[0].tolist())) == 2
+        data, offsets = C.buffers(pa.array([" ".join([a, a, b, a, b, b]), " ".join([b, b, a, b, a, a])]))
+        nodes = near._sums(2, *near.shingles(data, offsets))
+        assert (nodes[0] != nodes[1]).any()
+        data, offsets = C.buffers(pa.array([a + "x" * 100, b + "x" * 100]))
+        segment = suffix.entries(data, offsets)[1]
+        assert len(set(segment.tolist())) > 2
+
+
 def test_hash_of_bytes_is_stable():
     data = np.frombuffer(b"hello world hello", np.uint8)
-    h = C.span_hash(C.prefix_hash(data), np.array([0, 6, 12]), np.array([5, 11, 17]))
+    h = C.span_hash(C.loads(data), np.array([0, 6, 12]), np.array([5, 11, 17]))
     assert h[0] == h[2] != h[1]
     assert re.fullmatch("[0-9a-f]{64}", hashlib.sha256(b"").hexdigest())
