@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .gru import RATE, Gru
 
-HEAD, KNOWN, TAILS = 8192, 1 << 18, 64
+HEAD, KNOWN, TAILS = 4096, 1 << 18, 32
 ROUNDS, FAN = 2, 8
 #: Training tokens for each part of a round, while there are at most `MOST_PARTS`; beyond that for
 #: each part, so that the copies to be averaged stay small beside the corpus.
@@ -170,21 +170,25 @@ def _texts(batch, vocabulary: Vocabulary):
 
 
 def _averaged(copies: DataFrame) -> tuple[np.ndarray, int]:
-    """The mean of the copies, weighted by tokens, `FAN` at a time, in the order of k."""
-
-    def mean(table: pa.Table) -> pa.Table:
-        table = table.sort_by("k")
-        weights = table.column("tokens").to_pylist()
-        total = np.zeros(1)
-        for w, blob in zip(weights, table.column("blob").to_pylist(), strict=True):
-            total = total + w * np.frombuffer(blob, np.float32).astype(np.float64)
-        out = (total / max(sum(weights), 1)).astype(np.float32)
-        return pa.table({"k": pa.array([table.column("k")[0].as_py() // FAN], pa.int64()), "tokens": pa.array([sum(weights)], pa.int64()), "blob": pa.array([out.tobytes()], pa.binary())})
-
-    left = copies.count()
+    """The mean of the copies' steps, weighted by tokens, `FAN` at a time, in the order of k. Copies
+    tell their steps as halves of floats; means have floats."""
+
+    def mean_of(kind):
+        def mean(table: pa.Table) -> pa.Table:
+            table = table.sort_by("k")
+            weights = table.column("tokens").to_pylist()
+            total = np.zeros(1)
+            for w, blob in zip(weights, table.column("blob").to_pylist(), strict=True):
+                total = total + w * np.frombuffer(blob, kind).astype(np.float64)
+            out = (total / max(sum(weights), 1)).astype(np.float32)
+            return pa.table({"k": pa.array([table.column("k")[0].as_py() // FAN], pa.int64()), "tokens": pa.array([sum(weights)], pa.int64()), "blob": pa.array([out.tobytes()], pa.binary())})
+
+        return mean
+
+    kind, left = np.float16, 2
     while left > 1:
-        copies = C.checkpoint(copies.groupBy(F.floor(F.col("k") / FAN)).applyInArrow(mean, "k long, tokens long, blob binary"))
-        left = copies.count()
+        copies = C.checkpoint(copies.groupBy(F.floor(F.col("k") / FAN)).applyInArrow(mean_of(kind), "k long, tokens long, blob binary"))
+        kind, left = np.float32, copies.count()
     row = copies.first()
     return (np.frombuffer(row.blob, np.float32), row.tokens) if row else (np.zeros(0, np.float32), 0)
 
@@ -221,13 +225,13 @@ def train(encoded: DataFrame, head: int, counts: np.ndarray, tokens: int, rounds
                 piece()
             if learnt:
                 part = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([learnt], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["k", "tokens", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([learnt], pa.int64()), pa.array([(own.flat() - now).astype(np.float16).tobytes()], pa.binary())], names=["k", "tokens", "blob"])
 
         mine = encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("doc_id", "ids")
         dealt = mine.repartition(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
-        flat, learnt = _averaged(C.checkpoint(dealt.select("ids").mapInArrow(learn, "k long, tokens long, blob binary")))
+        step, learnt = _averaged(dealt.select("ids").mapInArrow(learn, "k long, tokens long, blob binary"))
         if learnt:
-            model.load(flat)
+            model.load(now + step)
     return model
 
 
