@@ -97,20 +97,27 @@ def fresh(df: DataFrame, name: str) -> str:
 
 #: A key is hot if it holds more than one in so many of the rows; so there are at most so many hot keys.
 HOT_SHARE = 1000
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 64
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """`many` joined with `one`, which has each key once, where some keys may hold most rows of
-    `many`: the rows of hot keys meet a broadcast table of at most `HOT_SHARE` keys where they lie;
-    only the others are shuffled. `how`: inner or left. `many` is evaluated twice: pass a frame
-    that is checkpointed or cheap."""
-    total = many.count()
-    hot = many.groupBy(key).count().filter(F.col("count") * HOT_SHARE > total).select(key)
-    names = [r[0] for r in hot.collect()]
-    if not names or total < HOT_SHARE:
+def hot_keys(counted: DataFrame, key: str, total: int) -> list:
+    """The hot ones among the keys of `counted` (key, count), of `total` rows: at most `HOT_SHARE`."""
+    return [r[0] for r in counted.filter(F.col("count") * HOT_SHARE > total).select(key).collect()] if total > HOT_SHARE else []
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """`many` joined (inner or left) with `one`, which has each key once, where some keys may hold most
+    rows of `many`: rows of hot keys are dealt to `SALTS` parts by a hash of the row, and their partners
+    are copied to each. Without `hot` the keys are counted first, which evaluates `many` once more."""
+    if hot is None:
+        hot = hot_keys(many.groupBy(key).count(), key, many.count())
+    if not hot:
         return many.join(one, key, how)
-    is_hot = F.coalesce(F.col(key).isin(*names), F.lit(False))
-    return many.filter(~is_hot).join(one, key, how).unionByName(many.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, how))
+    is_hot, salt = F.coalesce(F.col(key).isin(*hot), F.lit(False)), fresh(many, "salt")
+    left = many.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = one.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt], how).drop(salt)
 
 
 def text_bytes(spark_df: DataFrame) -> int:

@@ -12,11 +12,12 @@ Texts with equal shingles and weights are one node. Nodes that agree on a band o
 `ROWS` registers share a bucket. In each bucket all nodes are compared with a centre,
 the one with most neighbours over all buckets; links need an exact J_P of at least
 `THRESHOLD`. Then the nodes of a bucket that are still in different classes are
-compared with each other: buckets of up to `SMALL` by a join, larger ones in blocks
-in which registers rule out pairs by `MARGIN`. So a large group of near copies costs
-about one comparison for each node that the centre links. No candidate pair across classes
-is left out but by `MARGIN`: if registers are independent, a pair at the threshold in a large
-bucket is missed so with a chance of 5.5e-5, beside 3.6e-4 that no band agrees.
+compared with each other: buckets of up to `SMALL` by a join, larger ones in blocks, where
+products of matrices tell the weight that two sets have in common; its lesser share is an
+upper bound on J_P, and only pairs below the threshold by that bound are left out. So a large
+group of near copies costs about one comparison for each node that the centre links, and
+every candidate pair across classes is decided exactly. If registers are independent, a
+pair at the threshold shares no band, and so is no candidate, with a chance of 3.6e-4.
 
 Defined cases: a null or empty text, and one without words, is in a class of its own;
 a null doc_id forms no class (its class_id is null); rows that repeat a doc_id are
@@ -41,8 +42,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 SMALL, BLOCK, BLOCK_BYTES = 64, 512, 8 << 20
-#: Registers that must agree, less than four standard deviations below the threshold.
-MARGIN = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Shingles that a product of matrices takes at once.
+COLUMNS = 4096
 #: Bits of the filter for documents that need comparing.
 FILTER_BITS = 26
 EMPTY = b""
@@ -189,7 +190,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = B.build(involved, _first_half(F.col("node")), FILTER_BITS)
     sets = weighted_sets(docs, wanted).join(involved, "node", "left_semi")
     sets = C.checkpoint(sets)
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    hot = [C.hot_keys(pairs.groupBy(c).count(), c, pairs.count()) for c in ("a", "b")]
+    joined = C.join_hot(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a", hot=hot[0])
+    joined = C.join_hot(joined, sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b", hot=hot[1])
 
     def run(batches):
         for batch in batches:
@@ -218,8 +221,9 @@ def components(links: DataFrame, most: int = 200) -> DataFrame:
     for _ in range(most):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        after = C.checkpoint(C.narrow(spread.join(up, "next").select("node", F.least("next", "up").alias("label"), "old"), n))
+        named = labels.groupBy(F.col("label").alias("node")).count()
+        up = named.join(labels, "node").select(F.col("node").alias("next"), F.col("label").alias("up"))
+        after = C.checkpoint(C.narrow(C.join_hot(spread, up, "next", hot=C.hot_keys(named, "node", n)).select("node", F.least("next", "up").alias("label"), "old"), n))
         labels = after.drop("old")
         if not after.filter(F.col("label") != F.col("old")).limit(1).count():
             break
@@ -250,27 +254,32 @@ class _Sets:
     def __init__(self, blobs):
         self.each = [unpack(b) for b in blobs]
         self.size = np.array([len(k) for k, _ in self.each], np.int64)
-        self.keys = np.concatenate([k for k, _ in self.each]) if self.each else np.zeros(0, np.uint64)
-        self.ends = np.cumsum(self.size)
-        self.plain = np.array([bool((w == 1).all()) for _, w in self.each])
-
-    def near(self, one: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
-        """Which of the chosen sets are similar enough to one. Between sets without weights J_P is
-        the Jaccard coefficient, counted for all of them at once."""
-        out, plain = np.zeros(len(chosen), bool), self.plain[chosen] & bool((one[1] == 1).all())
-        if plain.any():
-            which = chosen[plain]
-            at = C.ragged(self.ends[which] - self.size[which], self.size[which])
-            keys = self.keys[at]
-            place = np.minimum(np.searchsorted(one[0], keys), len(one[0]) - 1)
-            total = np.concatenate([[0], np.cumsum(one[0][place] == keys)])
-            ends = np.cumsum(self.size[which])
-            common = total[ends] - total[ends - self.size[which]]
-            out[plain] = common / (len(one[0]) + self.size[which] - common) >= THRESHOLD - 1e-9
-        for k in np.flatnonzero(~plain):
-            out[k] = similarity(one, self.each[chosen[k]]) >= THRESHOLD - 1e-9
+        keys = np.concatenate([k for k, _ in self.each])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.row = keys[order], np.repeat(np.arange(len(self.each)), self.size)[order]
+        self.weight = np.concatenate([w for _, w in self.each])[order].astype(np.float32)
+        self.total = np.array([w.sum(dtype=np.float64) for _, w in self.each])
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        """The weights of some shingles, which are sorted, as a matrix."""
+        a, b = np.searchsorted(self.keys, columns[0], "left"), np.searchsorted(self.keys, columns[-1], "right")
+        place = np.minimum(np.searchsorted(columns, self.keys[a:b]), len(columns) - 1)
+        held = columns[place] == self.keys[a:b]
+        out = np.zeros((len(self.each), len(columns)), np.float32)
+        out[self.row[a:b][held], place[held]] = self.weight[a:b][held]
         return out
 
+    def may_be_near(self, other: _Sets) -> np.ndarray:
+        """Pairs of own and other sets whose similarity may reach the threshold: J_P is no more than the
+        share that the common shingles have of either set's weight."""
+        ours, theirs = (np.zeros((len(self.each), len(other.each))) for _ in range(2))
+        both = np.intersect1d(np.unique(self.keys), np.unique(other.keys), assume_unique=True)
+        for k in range(0, len(both), COLUMNS):
+            x, y = (side.dense(both[k : k + COLUMNS]) for side in (self, other))
+            ours += x @ (y > 0).astype(np.float32).T
+            theirs += (x > 0).astype(np.float32) @ y.T
+        return np.minimum(ours / self.total[:, None], theirs / other.total[None, :]) >= THRESHOLD - 1e-4
+
 
 def _root(parent: dict, x):
     while parent.setdefault(x, x) != x:
@@ -282,8 +291,7 @@ def _root(parent: dict, x):
 def in_blocks(docs: DataFrame, large: DataFrame, registers: DataFrame) -> DataFrame:
     """Links between classes within large buckets, found in pairs of blocks of about `BLOCK` nodes
     and `BLOCK_BYTES` of shingles, so that no task holds a whole bucket. A pair is compared in the
-    first of the buckets that it shares, unless registers rule it out; of the links a block's
-    spanning ones are told."""
+    first of the buckets that it shares; of the links a block's spanning ones are told."""
     involved = C.keep(large.select("node").distinct())
     wanted = B.build(involved, _first_half(F.col("node")), FILTER_BITS)
     sets = weighted_sets(docs, wanted).join(involved, "node", "left_semi")
@@ -299,19 +307,19 @@ def in_blocks(docs: DataFrame, large: DataFrame, registers: DataFrame) -> DataFr
         if not len(low) or not len(high):
             return pd.DataFrame({"a": [], "b": []})
         x, y = (np.stack([np.frombuffer(r, "<u4") for r in p.registers]) for p in (low, high))
-        own, sets = [unpack(b) for b in low.shingles], _Sets(high.shingles)
+        own, others = _Sets(low.shingles), _Sets(high.shingles)
+        may = own.may_be_near(others)
         labels, nodes = high.label.to_numpy(), high.node.to_numpy()
         out, parent = [], {}
         for k, (node, label) in enumerate(zip(low.node, low.label, strict=True)):
-            equal = x[k] == y
-            near = (equal.sum(1) >= MARGIN * REGISTERS) & (labels != label)
-            near &= equal.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band
+            near = may[k] & (labels != label)
             if same:
                 near[: k + 1] = False
-            chosen = np.flatnonzero(near)
-            for j in chosen[sets.near(own[k], chosen)]:
+            for j in np.flatnonzero(near):
+                if (x[k] == y[j]).reshape(BANDS, ROWS).all(1).argmax() != band:
+                    continue
                 p, q = _root(parent, label), _root(parent, labels[j])
-                if p != q:
+                if p != q and similarity(own.each[k], others.each[j]) >= THRESHOLD - 1e-9:
                     parent[p] = q
                     out.append((node, nodes[j]))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -327,10 +335,12 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = full.groupBy("node").agg(F.first("buckets").alias("buckets"))
     spread = nodes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = C.keep(spread.join(shared, "bucket"))
+    # a bucket is hot among the rows of its nodes' bands
+    hot = C.hot_keys(shared.withColumnRenamed("n", "count"), "bucket", BANDS * nodes.count())
+    held = C.keep(C.join_hot(spread, shared, "bucket", hot=hot))
     weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
     centre = held.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre"))
-    members = C.checkpoint(C.narrow(held.join(centre, "bucket").select("bucket", "band", "node", "centre"), held.count()))
+    members = C.checkpoint(C.narrow(C.join_hot(held, centre, "bucket", hot=hot).select("bucket", "band", "node", "centre"), held.count()))
     held.unpersist()
     pairs = C.keep(members.filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
     links = verify(docs, pairs)
@@ -348,14 +358,15 @@ def classes(docs: DataFrame) -> DataFrame:
         kept.unpersist()
     if len(found) > 1:
         labels = components(reduce(DataFrame.union, found))
-    named = signed.select("doc_id", "node").join(labels, "node", "left")
+    named = C.join_hot(signed.select("doc_id", "node"), labels, "node", "left")
     # texts without words, and rows without an id, are their own classes
     alone = F.concat(F.lit("doc "), F.col("doc_id").cast("string")).cast("binary")
-    named = named.select("doc_id", F.when(F.length("node") == 0, alone).otherwise(F.coalesce("label", "node")).alias("label"))
-    sizes = named.filter("doc_id IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    known = named.filter("doc_id IS NOT NULL").join(sizes, "label").select("doc_id", "class_id", "class_size")
+    named = C.checkpoint(named.select("doc_id", F.when(F.length("node") == 0, alone).otherwise(F.coalesce("label", "node")).alias("label")))
+    known = named.filter("doc_id IS NOT NULL")
+    sizes = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    found = C.join_hot(known, sizes, "label").select("doc_id", "class_id", "class_size")
     nameless = named.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return known.union(nameless)
+    return found.union(nameless)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -369,7 +380,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "class_id").distinct().join(own.distinct(), "doc_id")
     order = F.struct(F.col("named").isNull().alias("nameless"), "named", "doc_id")
     first = rows.groupBy("class_id").agg(F.min(order)["doc_id"].alias("first"))
-    gone = rows.join(first, "class_id").filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
+    gone = C.join_hot(rows, first, "class_id").filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias(C.fresh(docs, "gone")))
     kept = docs.join(gone, row_id == gone[gone.columns[0]], "left_anti")
     again = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept

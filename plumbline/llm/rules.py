@@ -1,11 +1,13 @@
 """Operator 8: quality rules, and an isolation forest over the rule statistics.
 
 Every whole text is measured: words, symbols, repeated lines, words in repeated
-three-word windows, and the shares derived from them. A forest of random splits is
-grown on a bounded sample (`SAMPLE` rows, the least by a hash of doc_id); documents
-that few splits isolate are anomalous. The score above which a document goes is
-read from the labelled rows, all of them: it parts good from bad best, and no more
-than `LOST` of the rows marked good go by it.
+three-word windows. Repeats are found by hashes and then compared by their bytes. A forest of
+random splits over all these statistics, as shares or on a scale of ratios, and over the shares
+of capitals and of punctuation, is grown on a bounded sample (`SAMPLE` of the labelled rows,
+the least by a hash; unlabelled ones only where those are fewer); documents that few splits
+isolate are anomalous. The score above which a document goes is read from the labelled rows,
+all of them: it parts good from bad best, and no more than `LOST` of the rows marked good
+go by it.
 
 Defined cases: a null or empty text has no words and all statistics 0, and fails
 the base rule; repeated doc_ids are measured row by row; labels that are null do
@@ -15,6 +17,8 @@ the threshold is `DEFAULT_THRESHOLD`. Other columns are ignored.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +29,15 @@ from . import common as C
 SAMPLE, TREES, SUBSAMPLE, SEED = 8192, 128, 512, 17
 LOST, DEFAULT_THRESHOLD = 0.01, 0.65
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: The share of repeated words that ordinary texts reach; the forest sees what is above it.
-REPEAT_EXCESS = 0.3
 #: Bins of the score between 0 and 1 in which labelled rows are counted.
 BINS = 2000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["symbol_share", "upper_share", "mark_share", "repeat_excess", "bar_share"]
+FEATURES = ["log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "punctuation_share"]
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
 
-_SYMBOL, _UPPER, _MARK, _BAR = (np.zeros(256, bool) for _ in range(4))
-for _set, _chars in ((_SYMBOL, b"#*$%&|<>"), (_UPPER, bytes(range(65, 91))), (_MARK, b"!?~^{}[]"), (_BAR, b"|")):
+_SYMBOL, _UPPER, _PUNCTUATION = (np.zeros(256, bool) for _ in range(3))
+for _set, _chars in ((_SYMBOL, b"#*$%&|<>"), (_UPPER, bytes(range(65, 91))), (_PUNCTUATION, string.punctuation.encode())):
     _set[list(_chars)] = True
 
 
@@ -44,10 +46,21 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: whether another is equal, and whether an earlier one is."""
+def _repeated(key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each span of bytes, of which equal ones of a row have equal keys: whether another of its row is
+    equal, and whether an earlier one is."""
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    a, b = order[:-1], order[1:]
+    same = key[a] == key[b]
+    pair = np.flatnonzero(same)
+    a, b = a[pair], b[pair]
+    true = (row[a] == row[b]) & (end[a] - start[a] == end[b] - start[b])
+    true[true] = C.same_bytes(data, start[a[true]], start[b[true]], (end - start)[a[true]])
+    if not true.all():  # different spans of one key: told apart by their bytes
+        seen: dict[tuple, int] = {}
+        key = np.array([seen.setdefault((r, data[x:y].tobytes()), len(seen)) for r, x, y in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)])
+        order = np.argsort(key, kind="stable")
+        same = key[order[:-1]] == key[order[1:]]
     later, any_ = np.zeros(len(key), bool), np.zeros(len(key), bool)
     later[order[1:]] = same
     any_[order[1:]] |= same
@@ -60,8 +73,7 @@ def measure_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     rows = len(offsets) - 1
     start, end, at = C.words(data, offsets)
     n_words = np.diff(at)
-    prefix = C.loads(data)
-    hashes = C.span_hash(prefix, start, end)
+    loaded = C.loads(data)
     inside = ~C.SPACE[data]
     word_chars = _per_row(inside & ((data & 0xC0) != 0x80), offsets)
     symbols = _per_row(_SYMBOL[data], offsets)
@@ -73,26 +85,45 @@ def measure_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     kept_before = np.concatenate([[0], np.cumsum(full)])
     line_at = kept_before[line_at]
     line_row = np.repeat(np.arange(rows), np.diff(line_at))
-    _, later = _repeated(C.mix(C.span_hash(prefix, line_start, line_end) + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    line_key = C.mix(C.span_hash(loaded, line_start, line_end) + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, later = _repeated(line_key, data, line_start, line_end, line_row)
     dup_lines = _per_row(later, line_at)
 
     repeat = np.zeros(rows, np.int64)
-    if len(hashes) > 2:
+    if len(start) > 2:
         row = np.repeat(np.arange(rows), n_words)
-        h = C.mix(hashes[:-2] * np.uint64(3) + (hashes[1:-1] ^ np.uint64(0xABCD)) * np.uint64(0x9E3779B97F4A7C15) + hashes[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
-        whole = row[:-2] == row[2:]
-        found, _ = _repeated(C.mix(h[whole] + row[:-2][whole].astype(np.uint64) * np.uint64(0x165667B19E3779F9)))
-        window = np.zeros(len(hashes) - 2, bool)
-        window[np.flatnonzero(whole)[found]] = True
-        cover = np.zeros(len(hashes), bool)
+        whole = np.flatnonzero(row[:-2] == row[2:])
+        # the words of a window one after another, each with the blank before the next
+        size = end - start
+        sizes = (size[whole] + 1, size[whole + 1] + 1, size[whole + 2])
+        total = sizes[0] + sizes[1] + sizes[2]
+        hashes = C.span_hash(loaded, start, end)
+        key = C.mix(C.mix(C.mix(hashes[whole] + row[whole].astype(np.uint64)) + hashes[whole + 1]) + hashes[whole + 2])
+        order = np.argsort(key, kind="stable")
+        twice = np.zeros(len(key), bool)
+        twice[order[1:]] |= key[order[1:]] == key[order[:-1]]
+        twice[order[:-1]] |= key[order[1:]] == key[order[:-1]]
+        some = np.flatnonzero(twice)  # the bytes of windows that may repeat
+        sizes, total = [x[some] for x in sizes], total[some]
+        ends = np.cumsum(total)
+        plain, at_ = np.full(int(total.sum()), 32, np.uint8), ends - total
+        for k, more in enumerate(sizes):
+            width = more - (k < 2)
+            plain[C.ragged(at_, width)] = data[C.ragged(start[whole[some] + k], width)]
+            at_ = at_ + more
+        found, _ = _repeated(key[some], plain, ends - total, ends, row[whole[some]])
+        window = np.zeros(len(start) - 2, bool)
+        window[whole[some][found]] = True
+        cover = np.zeros(len(start), bool)
         for k in range(3):
             cover[k : len(window) + k] |= window
         repeat = _per_row(cover, at)
 
     size = np.maximum(word_chars, 1)
     n = np.maximum(n_words, 1)
-    features = np.stack([symbols / size, _per_row(_UPPER[data], offsets) / size, _per_row(_MARK[data], offsets) / size, np.maximum(repeat / n - REPEAT_EXCESS, 0), _per_row(_BAR[data], offsets) / n], 1)
-    return np.stack([n_words, word_chars, symbols, dup_lines, repeat], 1), features
+    lines = np.maximum(np.diff(line_at), 1)
+    features = [np.log1p(n_words), np.log1p(word_chars / n), symbols / size, dup_lines / lines, repeat / n, _per_row(_UPPER[data], offsets) / size, _per_row(_PUNCTUATION[data], offsets) / size]
+    return np.stack([n_words, word_chars, symbols, dup_lines, repeat], 1), np.stack(features, 1)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -180,8 +211,13 @@ def scored(measured: DataFrame, forest: Forest) -> DataFrame:
     return measured.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
 
 
-def fit(measured: DataFrame) -> Forest:
-    rows = measured.select("features").orderBy(F.xxhash64("doc_id", "features")).limit(SAMPLE).toArrow()
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("labelled"), "quality").dropna().groupBy("labelled").agg(F.max("quality").alias("quality"))
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> Forest:
+    marked = measured.join(_marks(labels), F.col("doc_id") == F.col("labelled"), "left")
+    rows = marked.orderBy(F.col("labelled").isNull(), F.xxhash64("doc_id", "features")).limit(SAMPLE).select("features").toArrow()
     return Forest(_lists(rows.column("features").combine_chunks()))
 
 
@@ -192,8 +228,7 @@ def base_failed() -> F.Column:
 def threshold(rows: DataFrame, labels: DataFrame, lost: float = LOST) -> float:
     """The score that parts the labelled rows that pass the base rule with the least sum of the
     shares lost of the good and kept of the bad, where at most `lost` of the good are lost."""
-    marks = labels.select(F.col("doc_id").alias("labelled"), "quality").dropna().groupBy("labelled").agg(F.max("quality").alias("quality"))
-    held = rows.filter(~base_failed()).join(marks, rows.doc_id == marks.labelled)
+    held = rows.filter(~base_failed()).join(_marks(labels), F.col("doc_id") == F.col("labelled"))
     counts = held.groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), (F.col("quality") == 1).alias("good")).count().collect()
     good, bad = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
     for r in counts:
@@ -210,7 +245,7 @@ def threshold(rows: DataFrame, labels: DataFrame, lost: float = LOST) -> float:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, and the anomaly score."""
     measured = C.checkpoint(measure(docs))
-    rows = scored(measured, fit(measured))
+    rows = scored(measured, fit(measured, labels))
     limit = threshold(rows, labels)
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= limit))
 
@@ -219,7 +254,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that `judge` keeps. The verdict is formed where the
     row is, so that rows with null or repeated ids get their own."""
     measured = C.checkpoint(measure(docs))
-    forest = fit(measured)
+    forest = fit(measured, labels)
     limit = threshold(scored(measured, forest), labels)
 
     def run(batches):
