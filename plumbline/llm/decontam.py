@@ -5,15 +5,16 @@ units (after a number) become typed placeholders, other words lose their case. T
 windows of `WINDOW` tokens of all benchmark items are hash-joined with those of all
 documents; items shorter than a window are one window as long as they are. Windows
 need `LITERALS` words that are no placeholders (or all, if shorter). On each alignment of a
-document with an item, the filled slots are compared: a value of the item must meet
-one value of the document throughout, so that a question with other numbers or names
-is caught and a chance meeting of templates is not.
+document with an item, the filled slots are compared: within a run a value of the item must
+meet one value of the document, so that a question with other numbers or names is caught and
+a chance meeting of templates is not.
 
-A document is contaminated by an item if an alignment holds as many windows as `RUN`
-tokens in a row give (all that the item has, if those are fewer) and its slots are
-consistent. What templates cannot tell is matched by its tokens as they are but for case:
-items of up to `RUN` tokens as a whole, and runs of `RUN` tokens that have a window with
-too few words. An alignment is of one text.
+A document is contaminated by an item if an alignment holds all windows of a run of `RUN`
+tokens (all that the item has, if those are fewer) and the run's slots are consistent. What
+templates cannot tell is matched by its tokens as they are but for case: items of up to `RUN`
+tokens as a whole, and runs of `RUN` tokens that have a window with too few words. An
+alignment is of one text with one item's text. `n_windows` and `n_slots` are of the windows in
+consistent runs.
 
 Document windows that a bitmap of the benchmark's hashes excludes never leave the
 task. The benchmark's windows are broadcast only if they are counted and no more than
@@ -29,13 +30,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap as B
 from . import common as C
 
 WINDOW, RUN, LITERALS, SHORTEST = 10, 13, 4, 5
+#: Windows of a whole run.
+FULL = RUN - WINDOW + 1
 BROADCAST_ROWS = 200_000
 # Words that are units where they follow a number.
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh hz khz mhz ghz kb mb gb tb watt watts volt volts".split()
@@ -134,15 +137,15 @@ def _slots(first, size, value, slot):
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
-    """h, item_id, item_at, size, plain (a run of tokens as they are), needed (windows on one
-    alignment), item_slots."""
-    names = ["h", "item_id", "item_at", "size", "plain", "needed", "item_slots"]
+    """h, item_id, item_hash, item_at, size, plain (a run of tokens as they are), needed (windows in
+    a run), item_slots."""
+    names = ["h", "item_id", "item_hash", "item_at", "size", "plain", "needed", "item_slots"]
 
     def run(batches):
         for batch in batches:
             data, offsets = C.buffers(batch.column("text"))
             *_, at = tokens(data, offsets)
-            lengths, ids = np.diff(at), batch.column("item_id")
+            lengths, ids, hashes = np.diff(at), batch.column("item_id"), batch.column("item_hash")
             for size in range(SHORTEST, WINDOW + 1):
                 first, h, value, slot, at = windows(data, offsets, size)
                 row = np.searchsorted(at, first, "right") - 1
@@ -150,17 +153,17 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
                 first, h, row = first[held], h[held], row[held]
                 has = np.bincount(row, minlength=len(lengths))[row]
                 needed = np.minimum(has, np.maximum(1, np.minimum(RUN, lengths[row]) - size + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.zeros(len(h), bool)), pa.array(needed.astype(np.int64)), _slots(first, size, value, slot)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), hashes.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.zeros(len(h), bool)), pa.array(needed.astype(np.int64)), _slots(first, size, value, slot)], names=names)
             for size in range(1, RUN + 1):
                 first, h, poor, at = runs(data, offsets, size)
                 row = np.searchsorted(at, first, "right") - 1
                 held = (lengths[row] == size) | poor & (size == RUN)
                 first, h, row = first[held], h[held], row[held]
                 none = pa.array([[]] * len(h), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.ones(len(h), bool)), pa.array(np.ones(len(h), np.int64)), none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), hashes.take(pa.array(row)), pa.array((first - at[row]).astype(np.int64)), pa.array(np.full(len(h), size, np.int32)), pa.array(np.ones(len(h), bool)), pa.array(np.ones(len(h), np.int64)), none], names=names)
 
-    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "h long, item_id long, item_at long, size int, plain boolean, needed long, item_slots array<long>")
+    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("item_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "h long, item_id long, item_hash long, item_at long, size int, plain boolean, needed long, item_slots array<long>")
 
 
 def document_windows(docs: DataFrame, wanted: np.ndarray, sizes: list[tuple[int, bool]]) -> DataFrame:
@@ -189,23 +192,36 @@ def document_windows(docs: DataFrame, wanted: np.ndarray, sizes: list[tuple[int,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, n_windows on the best
-    alignment, n_slots, and whether all slots hold the item's own values (exact)."""
+    alignment, n_slots, and whether all its slots hold the item's own values (exact)."""
     C.tune(docs.sparkSession)
     ours = C.checkpoint(benchmark_windows(benchmark))
     sizes = sorted((r["size"], r["plain"]) for r in ours.select("size", "plain").distinct().collect())
     few = ours.count() <= BROADCAST_ROWS
     theirs = document_windows(docs, B.build(ours, F.col("h")), sizes)
     met = theirs.join(F.broadcast(ours) if few else ours, "h")
-    aligned = met.groupBy("doc_id", "text_hash", "item_id", "plain", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.size(F.collect_set("doc_at")).alias("n_windows"), F.max("needed").alias("needed"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))).alias("pairs"),
+    found = F.array_sort(F.collect_set(F.struct("doc_at", "item_slots", "doc_slots")))
+    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "plain", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(found.alias("met"), F.max("needed").alias("needed"))
+    enough = aligned.filter(F.size("met") >= F.col("needed"))
+    # an item with fewer windows than a run is one run; else runs begin at each window
+    starts = F.when(F.col("needed") < FULL, F.array(F.col("met"))).otherwise(
+        F.filter(F.transform("met", lambda w, k: F.slice("met", k + 1, FULL)), lambda run: (F.size(run) == FULL) & (F.element_at(run, -1)["doc_at"] == run[0]["doc_at"] + FULL - 1))
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    held = aligned.filter((F.col("n_windows") >= F.col("needed")) & consistent)
-    told = held.select("doc_id", "item_id", F.struct(F.col("n_windows").cast("long").alias("n_windows"), F.size("pairs").cast("long").alias("n_slots"), F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]).alias("exact")).alias("best"))
+    good = enough.withColumn("runs", F.filter(starts, lambda run: _consistent(_pairs(run)))).filter(F.size("runs") > 0)
+    whole = good.select("doc_id", "item_id", F.array_distinct(F.flatten("runs")).alias("windows")).withColumn("pairs", _pairs(F.col("windows")))
+    told = whole.select("doc_id", "item_id", F.struct(F.size("windows").cast("long").alias("n_windows"), F.size("pairs").cast("long").alias("n_slots"), F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]).alias("exact")).alias("best"))
     return told.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.*")
 
 
+def _pairs(windows: Column) -> Column:
+    """The distinct pairs of an item's and a document's value in the slots of some windows."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.arrays_zip(w["item_slots"].alias("item_slots"), w["doc_slots"].alias("doc_slots")))))
+
+
+def _consistent(pairs: Column) -> Column:
+    """Whether no value of the item meets two of the document."""
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"])))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no benchmark item. Rows are told apart by
     a hash of their text, so that null or repeated ids share no decision."""

@@ -120,13 +120,66 @@ def test_contamination(spark, docs, texts):
 def test_templates_and_slots(spark):
     item = "A train leaves the old station at 9 and travels 120 km to meet Alice who then walks 3 miles home with Bob before 9 strikes again"
     same = item.replace("120", "455").replace("Alice", "Carol").replace("9", "7").replace("3 miles", "8 yards")
-    broken = item.replace("at 9", "at 7")  # one value of the item meets two
-    docs = spark.createDataFrame([(1, f"intro text. {item} and more"), (2, f"Some words here. {same} end"), (3, f"lead in. {broken} end"), (4, prose(9, 200))], "doc_id long, text string")
-    found = {r.doc_id: r for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
-    assert set(found) == {1, 2}
+    broken = item.replace("at 9", "at 7")  # one value of the item meets two, but in no run of 13 tokens
+    twice = "If 9 boys and 9 girls share cakes how many are left over"
+    never = twice.replace("9 girls", "4 girls").replace("9 boys", "7 boys")
+    docs = spark.createDataFrame([(1, f"intro text. {item} and more"), (2, f"Some words here. {same} end"), (3, f"lead in. {broken} end"), (4, prose(9, 200)), (5, f"so. {never} end"), (6, f"so. {twice.replace('9', '5')} end")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.contaminated(docs, spark.createDataFrame([(7, item), (8, twice)], "item_id long, text string")).collect()}
+    assert set(found) == {1, 2, 3, 6}
     assert found[1].exact and not found[2].exact and found[2].n_slots >= 5
 
 
+def canonical(text):
+    """Template, value and whether a slot, for each token of a text, by regular expressions."""
+    raw, out = text.encode().decode("latin-1"), []
+    before = 0
+    for m in re.finditer(r"(?:[0-9A-Za-z'\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", raw):
+        w = m[0]
+        low = "".join(c.lower() if c < "\x80" else c for c in w)
+        number = re.fullmatch(r"[0-9][^A-Za-z\x80-\xff]*", w)
+        unit = low in decontam.UNITS and out and out[-1][0] == "#"
+        fresh = not out or re.search(r'[.!?:;\n"]', raw[before : m.start()])
+        name = re.match(r"[A-Z][a-z\x80-\xff]", w) and not fresh
+        out.append(("#", low, True) if number else ("%", low, True) if unit else ("@", low, True) if name else (low, low, False))
+        before = m.end()
+    return out
+
+
+def holds(text, item):
+    """The rule of the operator, one alignment and one run after another."""
+    doc, own = canonical(text), canonical(item)
+    n, run = len(own), min(13, len(own))
+    size = min(10, n)
+    ok = lambda k, m=own: sum(not t[2] for t in m[k : k + size]) >= min(4, size)
+    has = [k for k in range(n - size + 1) if n >= 5 and ok(k)]
+    needed = min(len(has), run - size + 1)
+    poor = [k for k in range(n - 12) if any(sum(not t[2] for t in own[j : j + 10]) < 4 for j in range(k, k + 4))] if n >= 13 else []
+    for shift in range(-n, len(doc) + 1):
+        at = lambda k, m: 0 <= k + shift and k + shift + m <= len(doc)  # noqa: B023, E731
+        for k, m in [(0, n)] * (n <= 13) + [(k, 13) for k in poor]:
+            if m and at(k, m) and [t[1] for t in own[k : k + m]] == [t[1] for t in doc[k + shift : k + shift + m]]:
+                return True
+        met = [k for k in has if at(k, size) and [t[0] for t in own[k : k + size]] == [t[0] for t in doc[k + shift : k + shift + size]]]
+        for part in [met] if needed < 4 else [[k, k + 1, k + 2, k + 3] for k in met if {k + 1, k + 2, k + 3} <= set(met)]:
+            if needed and len(part) >= needed:
+                pairs = {(own[j][1], doc[j + shift][1]) for k in part for j in range(k, k + size) if own[j][2]}
+                if len(pairs) == len({a for a, _ in pairs}):
+                    return True
+    return False
+
+
+def test_contamination_by_brute_force(spark, docs, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    some = dict(list(items.items())[:40])
+    some |= {10**6 + k: t for k, t in enumerate(["Ada met Bob at 9 with 3 cups", "at 9", "", "In 1999 Ada, 5 km off, saw 12 birds with 7 eggs near 44 trees and 3 more, by 6 roads of 9 miles"])}
+    changed = {10**6 + k: " ".join(re.sub(r"\d+", str(k), w) if k % 2 else w for w in f"Well then, {t} And on it went").replace("Ada", "Eve") for k, t in enumerate(some.values())}
+    every = dict(list(texts.items())[:60]) | changed
+    rows = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows, spark.createDataFrame(list(some.items()), "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in every.items() for i, x in some.items() if holds(t, x)}
+    assert len(got) > 40
+
+
 def test_items_that_templates_cannot_tell(spark):
     items = [
         (1, "What is 12 + 345 * 7 - 18 / 3 + 44"), (2, "Ada Lovelace, Alan Turing, Grace Hopper, Kurt Godel, Emmy Noether, John Neumann, Max Planck, Lise Meitner"),
