@@ -11,15 +11,19 @@ are a guess: literals, their neighbours, and some others.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import dataclass, field
 from decimal import Decimal
+from fractions import Fraction
 
 from ..plans import logical as L
 from ..plans.logical import X
 from ..sources.schema import ForeignKey, Increasing, Schema, Unique
+from . import exact
 
 _COMPARED = {"eq", "ne", "lt", "le", "gt", "ge", "same"}
 _LOGIC = {"and", "or", "not", "is_null", "is_bool"}
+_ARITHMETIC = {"coalesce", "cast", "add", "sub", "mul", "div", "mod", "neg", "abs", "sign", "power", "floor", "ceil", "round", "truncate"}
 
 
 @dataclass
@@ -74,7 +78,7 @@ class Classes:
             else:
                 self.of(key, x.type)
             return key
-        if x.op in ("case", "coalesce"):
+        if x.op in ("case", "coalesce") and not self.counted(x):
             values = [*x.args[1::2], x.args[-1]] if x.op == "case" else list(x.args)
             if x.op == "case":
                 for c in x.args[:-1:2]:
@@ -95,10 +99,48 @@ class Classes:
             self.relation(x.info)
             self.union(key, next(c.id for c in x.info.cols if c.visible))
             return key
+        if self.constant(x):
+            try:
+                found = exact.constant(x)
+            except exact.OutOfRange:
+                found = Fraction(1, 3)
+            if isinstance(found, Fraction):  # no literal says it
+                self.incomplete(f"{x.op} without a value of the type")
+            elif found is not None:
+                self.of(key, x.type).literals.add(found)
+            return key
+        if self.counted(x):
+            self.tests_within(x)
+            self.counts.add(key)
+            return key
         self.incomplete(f"{x.op} of values")
         self.touch(x)
         return key
 
+    @staticmethod
+    def constant(x: X) -> bool:
+        """Whether no column has a part in the value."""
+        return not L.refs(x) and not any(True for _ in L.subqueries(x))
+
+    def counted(self, x: X) -> bool:
+        """Whether the value comes of literals and of numbers of rows alone, whatever the columns hold:
+        how it is chosen may turn on tests of them."""
+        if x.op == "lit":
+            return True
+        if x.op == "col":
+            return x.info in self.counts
+        if x.op == "case":
+            return all(map(self.counted, [*x.args[1::2], x.args[-1]]))
+        return x.type in ("int", "num") and x.op in _ARITHMETIC and all(map(self.counted, x.args))
+
+    def tests_within(self, x: X) -> None:
+        """The conditions by which a counted value is chosen."""
+        for k, a in enumerate(x.args):
+            if x.op == "case" and k < len(x.args) - 1 and k % 2 == 0:
+                self.test(a)
+            else:
+                self.tests_within(a)
+
     kept: list = []  # expressions stay alive, since their identity is a key
 
     def touch(self, x: X) -> None:
@@ -131,6 +173,8 @@ class Classes:
             self.relation(x.info)
             for a, c in zip(x.args, [c for c in x.info.cols if c.visible], strict=True):
                 self.union(self.value(a), c.id)
+        elif self.constant(x):
+            pass
         elif x.op in ("prefix", "suffix", "contains"):
             self.incomplete("LIKE")
             self.touch(x)
@@ -153,12 +197,19 @@ class Classes:
         elif isinstance(r, L.Project):
             for i, x in r.items:
                 if x != X("col", x.type, (), i):
-                    self.union(i, self.value(x))
+                    key = self.value(x)
+                    self.union(i, key)
+                    if key in self.counts:
+                        self.counts.add(i)
         elif isinstance(r, L.Aggregate):
             for i, x in r.keys:
                 if x != X("col", x.type, (), i):
                     self.union(i, self.value(x))
             for i, a in r.aggs:
+                if a.name in ("sum", "avg") and self.counted(a.args[0]):
+                    self.tests_within(a.args[0])
+                    self.counts.add(i)
+                    continue
                 keys = [self.value(x) for x in a.args]
                 if a.name in ("min", "max"):
                     self.union(i, keys[0])
@@ -175,6 +226,12 @@ class Classes:
                 for o in w.order:
                     key = self.value(o.expr)
                     self.of(key, o.expr.type).ordered = True
+                if w.name in ("sum", "avg") and self.counted(w.args[0]):
+                    for x in w.partition:
+                        self.value(x)
+                    self.tests_within(w.args[0])
+                    self.counts.add(i)
+                    continue
                 for x in (*w.args, *w.partition):
                     self.value(x)
                 if w.name in ("min", "max", "first_value"):
@@ -282,36 +339,53 @@ def _used(rel: L.Rel) -> set[str]:
     return out
 
 
-_EPOCH, _MIDNIGHT = dt.date(2000, 1, 1), dt.datetime(2000, 1, 1, 12)
+_EPOCH = dt.date(2000, 1, 1)
+_MICROSECOND = dt.timedelta(microseconds=1)
+#: Digits after the point, and before it, that candidate databases hold.
+DIGITS, WHOLE = 18, 20
+
+
+def _microseconds(t: dt.time) -> int:
+    return ((t.hour * 60 + t.minute) * 60 + t.second) * 1_000_000 + t.microsecond
+
+
+#: Of types whose values follow each other: as a number, from a number, the least and the largest,
+#: and where values begin that no literal names.
+_STEPPED = {
+    "int": (int, int, -(2**63), 2**63 - 1, 1),
+    "date": (dt.date.toordinal, dt.date.fromordinal, 1, dt.date.max.toordinal(), _EPOCH.toordinal()),
+    "time": (_microseconds, lambda v: (dt.datetime.min + v * _MICROSECOND).time(), 0, 24 * 3600 * 1_000_000 - 1, 3600 * 1_000_000),
+}
 
 
 def _gap_values(kind: str, literals: list, cells: int, ordered: bool) -> list:
-    """Literals and, in each gap between them (or anywhere, without order), up to `cells` values."""
-    if kind in ("int", "date", "num", "time"):
-        to, back = {
-            "int": (lambda v: Decimal(v), lambda v: int(v)),
-            "num": (Decimal, lambda v: v),
-            "date": (lambda v: Decimal(v.toordinal()), lambda v: dt.date.fromordinal(int(v))),
-            "time": (lambda v: Decimal(v.hour * 3600 + v.minute * 60 + v.second), lambda v: (dt.datetime(2000, 1, 1) + dt.timedelta(seconds=float(v))).time()),
-        }[kind]
+    """Literals and, in each gap between them (or anywhere, without order), up to `cells` values. A gap
+    that has no more values than that gives all."""
+    if kind in _STEPPED:
+        to, back, least, most, base = _STEPPED[kind]
         numbers = sorted({to(v) for v in literals})
         if not numbers:
-            base = {"int": 1, "num": 1, "date": _EPOCH.toordinal(), "time": 3600}[kind]
-            return [back(Decimal(base + k)) for k in range(cells)]
-        out = list(numbers)
-        if not ordered:
-            k, top = 0, numbers[-1]
-            while k < cells:
-                k += 1
-                out.append(top + k)
-        else:
-            out += [numbers[0] - k for k in range(1, cells + 1)] + [numbers[-1] + k for k in range(1, cells + 1)]
-            for a, b in zip(numbers, numbers[1:], strict=False):
-                room = b - a - 1 if kind in ("int", "date", "time") else Decimal(cells)
-                n = min(cells, int(room))
-                for k in range(1, n + 1):
-                    out.append(a + k if kind != "num" else a + (b - a) * k / (cells + 1))
-        return [back(v) for v in sorted(set(out))]
+            return [back(base + k) for k in range(cells)]
+        edges = [least - 1, *numbers, most + 1]
+        out = set(numbers)
+        if ordered:
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                n = min(cells, b - a - 1)
+                out |= {a + 1 + i for i in range(n)} if k else {b - 1 - i for i in range(n)}
+        else:  # any others
+            value = numbers[-1]
+            while len(out) < len(numbers) + cells:
+                value = value + 1 if value < most else least
+                out.add(value)
+        return [back(v) for v in sorted(out)]
+    if kind == "num":
+        numbers = sorted({Decimal(v) for v in literals})
+        if not numbers:
+            return [Decimal(1 + k) for k in range(cells)]
+        out = set(numbers) | {Decimal(math.floor(numbers[0]) - k) for k in range(1, cells + 1)} | {Decimal(math.floor(numbers[-1]) + k) for k in range(1, cells + 1)}
+        for a, b in zip(numbers, numbers[1:], strict=False):
+            out |= set(between(a, b, cells))
+        return sorted(out)
     fresh, k = [], 0
     while len(fresh) < cells:
         name = chr(97 + k % 26) * (1 + k // 26)
@@ -321,20 +395,34 @@ def _gap_values(kind: str, literals: list, cells: int, ordered: bool) -> list:
     return sorted({*literals, *fresh})
 
 
+def between(a: Decimal, b: Decimal, n: int) -> list[Decimal]:
+    """Up to n decimals between two, with as few digits as do."""
+    for digits in range(DIGITS + 1):
+        low, high = math.floor(Fraction(a) * 10**digits) + 1, math.ceil(Fraction(b) * 10**digits) - 1
+        if high - low + 1 >= n:
+            return [Decimal(low + k).scaleb(-digits) for k in range(n)]
+    return [Decimal(low + k).scaleb(-DIGITS) for k in range(high - low + 1)]
+
+
+def held(value: Decimal) -> bool:
+    """Whether candidate databases can hold the number."""
+    return -value.as_tuple().exponent <= DIGITS and abs(value) < Decimal(10) ** (WHOLE - 1)
+
+
 def _guessed(kind: str, literals: set, strays: set, cells: int) -> list:
     """Values for columns that are computed with."""
     own = set(literals) | {v for k, v in strays if k == kind and v is not None}
     if kind == "int":
         near = {v + d for v in own if isinstance(v, int) for d in (-1, 0, 1)} | {v for v in (0, 1, -1, 2)}
         near |= {int(v) for k, v in strays if k == "num" and v is not None}
-        return sorted(near)[: 9]
+        return sorted(v for v in near if -(2**63) <= v < 2**63)
     if kind == "num":
         numbers = {Decimal(v) for v in own} | {Decimal(v) for k, v in strays if k == "int" and v is not None}
         near = {v + d for v in numbers for d in (Decimal(-1), Decimal(0), Decimal(1))} | {Decimal(0), Decimal(1), Decimal("-1.5"), Decimal("2.5"), Decimal("0.4")}
-        return sorted(near)[: 9]
+        return sorted(v for v in near if held(v))
     if kind == "date":
-        dates = own or {_EPOCH}
-        return sorted({d + dt.timedelta(n) for d in dates for n in (-1, 0, 1)} | {dt.date(2020, 2, 29), dt.date(1969, 12, 31)})
+        days = {d.toordinal() + n for d in own or {_EPOCH} for n in (-1, 0, 1)}
+        return sorted({dt.date.fromordinal(n) for n in days if 1 <= n <= dt.date.max.toordinal()} | {dt.date(2020, 2, 29), dt.date(1969, 12, 31)})
     if kind == "text":
         return sorted({*own, *(v + "x" for v in own), *("x" + v for v in own), "", "a", "A"})
     return _gap_values(kind, sorted(own), cells, True)
@@ -359,5 +447,12 @@ def domain(classes: Classes, table: str, column: str, bound: int, nullable: bool
     else:
         if c.type == "text" and found.ordered and found.literals:
             classes.incomplete("an order of texts and literals")
-        values = _gap_values(c.type, sorted(v for v in found.literals), cells, found.ordered)
+        literals = sorted(found.literals)
+        if c.type == "num":
+            if any(not held(Decimal(v)) for v in literals):
+                classes.incomplete("a number with more digits than databases hold")
+            literals = [v for v in literals if held(Decimal(v))]
+            if found.ordered and any(len(between(Decimal(a), Decimal(b), cells)) < cells for a, b in zip(literals, literals[1:], strict=False)):
+                classes.incomplete("numbers too near each other")
+        values = _gap_values(c.type, literals, cells, found.ordered)
     return [*values, None] if nullable else values

@@ -11,17 +11,17 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.typing import Policies
 from ..operators.compare import bag_difference, list_difference
-from ..operators.lower import Layer, Lowerer, result
+from ..operators.lower import Layer, Lowerer
 from ..plans import logical as L
 from ..plans.binder import Binder, Bound
 from ..plans.errors import QueryError, Reason
 from ..plans.syntax import parse
 from ..sources.constraints import check_predicate
-from ..sources.schema import Check, Schema, spark_type
+from ..sources.schema import Check, Schema
+from . import exact
 from . import worlds as Wd
 from .domains import Classes, domain
 from .outcome import Counterexample, Different, Equivalent, Metrics, Options, Result, Unsupported, Verdict
@@ -102,6 +102,8 @@ class Session:
             return Unsupported(e.reason, e.message)
         except RecursionError:
             return Unsupported(Reason.COMPLEXITY_LIMIT, "nested too deeply")
+        except Exception as e:  # a verdict is due whatever fails below
+            return Unsupported(Reason.INTERNAL, f"{type(e).__name__}: {str(e)[:200]}")
 
     def _timed(self, metrics: Metrics, name: str, work):
         began = time.perf_counter()
@@ -147,10 +149,9 @@ class Session:
             metrics.add("subqueries", sum(1 for n in _nodes(q.rel) for x in n.exprs() for _ in L.subqueries(x)))
             if _work(q.rel) > WORK * o.intermediate_rows:
                 raise QueryError(Reason.COMPLEXITY_LIMIT, "the query's nested work is too large")
-        if a.types != b.types and [t for t in a.types] != [t for t in b.types]:
-            empty = {t.key(): () for t in self.schema.tables}
+        if a.types != b.types:
             metrics.add("empty_witness")
-            return Different(self._replayed(empty, left, right, a, b, False, metrics)[1])
+            return Different(self._replayed({t.key(): () for t in self.schema.tables}, a, b, metrics)[1])
         if a.ordered != b.ordered:
             return Unsupported(Reason.UNSUPPORTED_SQL, "one result is a list and the other a bag")
         predicates = [check_predicate(self.schema, c)[0] for c in self.schema.constraints if isinstance(c, Check)]
@@ -165,25 +166,32 @@ class Session:
         searched = [worlds]
         if worlds.partial:  # fewer rows first, which may be searched as a whole
             searched = [self._timed(metrics, "worlds", lambda n=n: self._worlds(classes, used, symmetric, n)) for n in range(1, o.rows)] + searched
-        found = None
+        doubtful = False
         for worlds in searched:
             metrics.add("worlds", worlds.count)
             if not worlds.count and not worlds.partial:
                 return Unsupported(Reason.INVALID_SCHEMA, "no database satisfies the constraints")
-            found = self._timed(metrics, "search", lambda w=worlds: self._search(w, a, b))
-            if found is not None:
-                break
-        if found is None:
-            if worlds.partial:
-                return Unsupported(Reason.COMPLEXITY_LIMIT, f"not refuted over {metrics.counts['worlds']} of {worlds.every} candidate databases")
-            if classes.complete:
-                return Equivalent(o.rows, f"no difference over {worlds.count} databases")
-            return Unsupported(Reason.SOLVER, f"not refuted over {worlds.count} databases, which are not all that matter ({classes.reason})")
-        tables = self._timed(metrics, "witness", lambda: self._extract(worlds, found))
-        differs, example = self._timed(metrics, "replay", lambda: self._replayed(tables, left, right, a, b, a.ordered, metrics))
-        if not differs:
-            return Unsupported(Reason.INTERNAL, "the replay of a counterexample does not differ")
-        return Different(example)
+            for found in self._timed(metrics, "search", lambda w=worlds: self._search(w, a, b)):
+                example = self._timed(metrics, "replay", lambda w=worlds, k=found: self._example(w, k, a, b, metrics))
+                if example is not None:
+                    return Different(example)
+                doubtful = True
+        if worlds.partial:
+            return Unsupported(Reason.COMPLEXITY_LIMIT, f"not refuted over {metrics.counts['worlds']} of {worlds.every} candidate databases")
+        if doubtful:
+            return Unsupported(Reason.SOLVER, "differences that exact evaluation does not confirm")
+        if classes.complete:
+            return Equivalent(o.rows, f"no difference over {worlds.count} databases")
+        return Unsupported(Reason.SOLVER, f"not refuted over {worlds.count} databases, which are not all that matter ({classes.reason})")
+
+    def _example(self, worlds: Wd.Worlds, world: int, a: Bound, b: Bound, metrics: Metrics) -> Counterexample | None:
+        """The world as a counterexample; None if its exact results are equal, or if a value in it is
+        beyond its type."""
+        try:
+            differs, example = self._replayed(self._extract(worlds, world), a, b, metrics)
+        except exact.OutOfRange:
+            return None
+        return example if differs else None
 
     def _consistent(self, predicates) -> None:
         Wd.build(self.spark, Schema(self.schema.tables, tuple(c for c in self.schema.constraints if isinstance(c, Check) and not check_predicate(self.schema, c)[1])), Classes(self.schema).build([], []), set(), 1, True, 10)
@@ -195,8 +203,9 @@ class Session:
             self.kept[key] = (Wd.build(spark, self.schema, classes, used, rows, symmetric, self.options.worlds), spark)
         return self.kept[key][0]
 
-    def _search(self, worlds: Wd.Worlds, a: Bound, b: Bound) -> int | None:
-        """The least number of a database on which the results differ."""
+    def _search(self, worlds: Wd.Worlds, a: Bound, b: Bound) -> list[int]:
+        """The least numbers of databases on which the results differ, up to `WITNESSES`; they are to be
+        confirmed, since this evaluation rounds."""
         sides = []
         for q in (a, b):
             root = Layer(worlds.frame, [Wd.WORLD])
@@ -215,8 +224,7 @@ class Session:
                 frames.append((keyed, keys))
             values = [f"_{k}" for k in range(len(sides[0][2]))]
             differs = list_difference(frames[0][0], frames[1][0], frames[0][1], frames[1][1], [Wd.WORLD], values)
-        row = differs.agg(F.min(Wd.WORLD).alias("w")).first()
-        return row.w
+        return sorted(r[0] for r in differs.select(Wd.WORLD).distinct().orderBy(Wd.WORLD).limit(WITNESSES).collect())
 
     def _extract(self, worlds: Wd.Worlds, world: int) -> dict[str, tuple]:
         out = {}
@@ -225,21 +233,14 @@ class Session:
             out[t.key()] = tuple(map(tuple, rows))
         return out
 
-    def _replayed(self, tables: dict, left: str, right: str, a: Bound, b: Bound, ordered: bool, metrics: Metrics):
-        """Both queries on one database, evaluated plainly."""
-        frames, self.spark = {}, self.light
-        for t in self.schema.tables:
-            kind = T.StructType([T.StructField("__position", T.LongType())] + [T.StructField(c.key(), spark_type(c.type, True)) for c in t.columns])
-            frames[t.key()] = self.spark.createDataFrame([(k, *row) for k, row in enumerate(tables[t.key()])], kind)
-        results = []
-        for q in (a, b):
-            lowerer = Lowerer(self.spark, frames, True, positions=True)
-            df, low = result(lowerer, q.rel)
-            results.append(Result(tuple(q.names), tuple(q.types), tuple(map(tuple, df.collect()))))
+    def _replayed(self, tables: dict, a: Bound, b: Bound, metrics: Metrics) -> tuple[bool, Counterexample]:
+        """Both queries on one database, evaluated plainly and exactly."""
+        rows = {t.key(): [dict(zip([c.key() for c in t.columns], r, strict=True)) for r in tables[t.key()]] for t in self.schema.tables}
+        found = [exact.Evaluator(rows).result(q.rel) for q in (a, b)]
         metrics.add("replays")
-        x, y = results
-        same = x.rows == y.rows if ordered else sorted(map(repr, x.rows)) == sorted(map(repr, y.rows))
-        return not same or x.types != y.types, Counterexample(tables, x, y)
+        x, y = found if a.ordered else (sorted(f, key=repr) for f in found)
+        results = [Result(tuple(q.names), tuple(q.types), tuple(tuple(map(exact.outward, r)) for r in f)) for q, f in zip((a, b), found, strict=True)]
+        return x != y or a.types != b.types, Counterexample(tables, *results)
 
 
 def _positional(rel: L.Rel) -> bool:
@@ -251,6 +252,8 @@ def _positional(rel: L.Rel) -> bool:
     return any(map(_positional, rel.inputs())) or any(_positional(s.info) for x in rel.exprs() for s in L.subqueries(x))
 
 
+#: Databases that one search hands to exact evaluation.
+WITNESSES = 256
 #: Rows of work that a query may need, for each intermediate row that it may have.
 WORK = 64
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal
 from ..plans.errors import too_complex
 from ..sources import constraints as K
 from ..sources.schema import Check, ForeignKey, Increasing, Schema, Table, Unique, invalid, spark_type
@@ -67,7 +68,7 @@ def _states(spark: SparkSession, schema: Schema, table: Table, domains: dict[str
     for c, n in zip(table.columns, sizes, strict=True):
         kind = spark_type(c.type, True)
         at = (F.floor(F.col("__row") / step) % n).cast("int")
-        values = F.array(*[F.lit(v).cast(kind) for v in domains[c.key()]])
+        values = F.array(*[literal(v).cast(kind) for v in domains[c.key()]])
         columns.append(F.get(values, at).alias(c.key()))
         step *= n
     data = exploded.select("__s", F.col("__position").cast("bigint").alias("__position"), *columns)

@@ -2,11 +2,14 @@
 
 Two number modes. Analytics holds numerics as doubles and lets integer overflow raise.
 Exact holds them as DECIMAL(38,18) and turns overflow into NULL, for candidate databases
-in which one row must not end the run.
+in which one row must not end the run; what it finds there is confirmed by exact
+evaluation. Products take 9 digits of either side after the point; quotients 6, or 12 where both
+sides are less than 10^8.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +23,11 @@ from ..sources.schema import spark_type
 _EXACT = T.DecimalType(38, 18)
 
 
+def literal(value) -> Column:
+    """A constant; dates by their text, since early years lose their zeros on the way to the JVM."""
+    return F.lit(value.isoformat()).cast("date") if type(value) is dt.date else F.lit(value)
+
+
 class Columns:
     def __init__(self, exact: bool, lookup: Callable[[str], Column]):
         self.exact, self.lookup = exact, lookup
@@ -31,7 +39,7 @@ class Columns:
         if x.op == "col":
             return self.lookup(x.info)
         if x.op == "lit":
-            return F.lit(x.info).cast(self.type(x.type))
+            return literal(x.info).cast(self.type(x.type))
         return getattr(self, f"_{x.op}")(x, *map(self, x.args))
 
     # -- truth values
@@ -99,16 +107,23 @@ class Columns:
 
     def _mul(self, x, a, b):
         if self.exact and x.type == "num":
-            return self._plain(x, F.try_multiply(a.cast("decimal(19,9)"), b.cast("decimal(19,9)")))
+            return self._plain(x, F.try_multiply(a.try_cast("decimal(19,9)"), b.try_cast("decimal(19,9)")))
         return F.try_multiply(a, b) if self.exact else a * b
 
     def _div(self, x, a, b):
         if self.exact:
-            return self._plain(x, F.try_divide(a.cast("decimal(20,6)"), b.cast("decimal(20,6)")))
+            return self._plain(x, self._quotient(a, b))
         return F.try_divide(a, b)
 
+    @staticmethod
+    def _quotient(a, b):
+        """Of two exact numbers, whose digits after the point would else be cut to fit 38 digits."""
+        near = [v.try_cast("decimal(20,12)") for v in (a, b)]
+        up = [(v * F.lit(10**6)).try_cast("decimal(20,6)") for v in near]
+        return F.when(near[0].isNotNull() & near[1].isNotNull(), F.try_divide(*up)).otherwise(F.try_divide(a.try_cast("decimal(20,6)"), b.try_cast("decimal(20,6)")))
+
     def _plain(self, x, value):
-        return value.cast(_EXACT) if self.exact and x.type == "num" else value
+        return value.try_cast(_EXACT) if self.exact and x.type == "num" else value
 
     def _mod(self, x, a, b):
         return F.try_mod(a, b)
@@ -217,14 +232,14 @@ class Columns:
             return F.try_divide(F.sum_distinct(value), F.count_distinct(value)) if distinct else F.avg(value)
         value = value.cast(_EXACT)
         total, n = (F.sum_distinct(value), F.count_distinct(value)) if distinct else (F.sum(value), F.count(value))
-        return F.try_divide(total.cast("decimal(20,6)"), n.cast("decimal(20,6)")).cast(_EXACT)
+        return self._quotient(total, n).try_cast(_EXACT)
 
     def windowed(self, name: str, distinct: bool, kind: str, args: tuple[X, ...], window) -> Column:
         """An aggregate over a window; DISTINCT by way of the set of the frame's values."""
         if not distinct or name in ("min", "max") or not args:
             if name == "avg" and self.exact:
                 value = self(args[0]).cast("bigint" if args[0].type == "bool" else _EXACT).cast(_EXACT)
-                return F.try_divide(F.sum(value).over(window).cast("decimal(20,6)"), F.count(value).over(window).cast("decimal(20,6)")).cast(_EXACT)
+                return self._quotient(F.sum(value).over(window), F.count(value).over(window)).try_cast(_EXACT)
             if name == "sum":
                 value = self(args[0])
                 return F.sum(value.cast("bigint") if args[0].type == "bool" else value).over(window).cast(self.type(kind))
@@ -241,4 +256,4 @@ class Columns:
             return total.cast(self.type(kind))
         if not self.exact:
             return F.try_divide(total.cast("double"), F.size(found).cast("double"))
-        return F.try_divide(total.cast("decimal(20,6)"), F.size(found).cast("decimal(20,6)")).cast(_EXACT)
+        return self._quotient(total, F.size(found)).try_cast(_EXACT)

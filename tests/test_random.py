@@ -135,5 +135,5 @@ def test_side_by_side_is_one_by_one(spark, text):
         tables = {"items": tuple(contents.get(world, ()))}
         from plumbline.checker.outcome import Metrics
 
-        example = session._replayed(tables, text, text, bound, bound, False, Metrics())[1]
+        example = session._replayed(tables, bound, bound, Metrics())[1]
         assert sorted(every.get(world, []), key=repr) == sorted(example.left.rows, key=repr), tables
