@@ -1,6 +1,7 @@
 """Operators against brute-force versions on the small documents."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -129,6 +130,7 @@ def test_templates_and_slots(spark):
     assert found[1].exact and not found[2].exact and found[2].n_slots >= 5
 
 
+@functools.cache
 def canonical(text):
     """Template, value and whether a slot, for each token of a text, by regular expressions."""
     raw, out = text.encode().decode("latin-1"), []
@@ -154,7 +156,13 @@ def holds(text, item):
     has = [k for k in range(n - size + 1) if n >= 5 and ok(k)]
     needed = min(len(has), run - size + 1)
     poor = [k for k in range(n - 12) if any(sum(not t[2] for t in own[j : j + 10]) < 4 for j in range(k, k + 4))] if n >= 13 else []
-    for shift in range(-n, len(doc) + 1):
+    step = 3 if n > 4 else 1
+    places = [{tuple(t[k] for t in own[j : j + step]): [] for j in range(n - step + 1)} for k in (0, 1)]
+    for k in (0, 1):
+        for j in range(n - step + 1):
+            places[k][tuple(t[k] for t in own[j : j + step])].append(j)
+    shifts = {i - j for k in (0, 1) for i in range(len(doc) - step + 1) for j in places[k].get(tuple(t[k] for t in doc[i : i + step]), ())}
+    for shift in shifts:  # where some tokens in a row are equal
         at = lambda k, m: 0 <= k + shift and k + shift + m <= len(doc)  # noqa: B023, E731
         for k, m in [(0, n)] * (n <= 13) + [(k, 13) for k in poor]:
             if m and at(k, m) and [t[1] for t in own[k : k + m]] == [t[1] for t in doc[k + shift : k + shift + m]]:
@@ -172,8 +180,8 @@ def test_contamination_by_brute_force(spark, docs, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     some = dict(list(items.items())[:40])
     some |= {10**6 + k: t for k, t in enumerate(["Ada met Bob at 9 with 3 cups", "at 9", "", "In 1999 Ada, 5 km off, saw 12 birds with 7 eggs near 44 trees and 3 more, by 6 roads of 9 miles"])}
-    changed = {10**6 + k: " ".join(re.sub(r"\d+", str(k), w) if k % 2 else w for w in f"Well then, {t} And on it went").replace("Ada", "Eve") for k, t in enumerate(some.values())}
-    every = dict(list(texts.items())[:60]) | changed
+    changed = {10**6 + k: " ".join(re.sub(r"\d+", str(k), w) if k % 2 else w for w in f"Well then, {t} And on it went".split()).replace("Ada", "Eve") for k, t in enumerate(some.values())}
+    every = dict(list(texts.items())[:40]) | changed
     rows = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows, spark.createDataFrame(list(some.items()), "item_id long, text string")).collect()}
     assert got == {(d, i) for d, t in every.items() for i, x in some.items() if holds(t, x)}
