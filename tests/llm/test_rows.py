@@ -63,11 +63,11 @@ def test_empty_labels_and_benchmark(spark):
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (2, None, None), (None, "v", "b"), (-5, "w", ""), (2**40, "x", "é")], "page_id long, url string, html string")
     stored = warc.records(pages.withColumn("path", F.lit(1)).withColumn("hash", F.lit(2)))
-    trees = warc.tree(stored)
-    assert warc.audit(trees, warc.tree(stored.repartition(5))).count() == 0
+    trees = warc.tree(stored)[1]
+    assert warc.audit(trees, warc.tree(stored.repartition(5))[1]).count() == 0
     placed = sorted(warc.offsets(trees).collect(), key=lambda r: r.offset)
     assert [r.offset for r in placed] == [0, *[sum(x.bytes for x in placed[: k + 1]) for k in range(len(placed) - 1)]]
     assert sum(r.records for r in placed) == 6
-    nothing = warc.tree(warc.records(pages.limit(0)))
+    nothing = warc.tree(warc.records(pages.limit(0)))[1]
     assert warc.offsets(nothing).count() == 0 and warc.audit(nothing, nothing).count() == 0
     assert warc.audit(trees, nothing).count() == len(placed)
