@@ -226,6 +226,27 @@ def base_scores(texts):
     return {d: (len(ws), sum(counts[w] > 0 for w in ws), total, sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)) for d, ws in words.items()}
 
 
+def test_wrapped_notices(spark, duck):
+    import textwrap
+
+    def wrap(name, width, start=""):
+        return "\n".join(start + line for line in textwrap.wrap(licenses.TEMPLATES[name], width))
+
+    code = "\n".join(f"int f{k}(int x) {{ return x * {k}; }}" for k in range(120))
+    made = {
+        1: wrap("mit-full", 70, " * ") + "\n\n" + code, 2: code + "\n" + wrap("apache-2.0-header", 60, "# ") + "\n" + code, 3: code,
+        4: f"{code}\n{wrap('bsd-3-clause-full', 78)}\n{code}", 5: "Released under\nthe MIT License.\nand more of it all here", 6: wrap("gpl-3.0-header", 40).replace("useful", "of use") + "\nint x;\n" + code, 7: None, 8: "a\n\nb",
+    }
+    rows = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: {h.id: h.dice for h in r.hits} for r in licenses.scan(rows).collect()}
+    held = {1: "mit-full", 2: "apache-2.0-header", 4: "bsd-3-clause-full", 5: "mit", 6: "gpl-3.0-header"}
+    assert all(i in got[d] for d, i in held.items()) and not got[3] and not got[7] and not got[8]
+    con = duck.cursor()
+    con.execute("CREATE OR REPLACE TEMP TABLE documents AS SELECT * FROM (VALUES " + ", ".join("(?::BIGINT, ?::VARCHAR)" for _ in made) + ") d(doc_id, text)", [x for r in made.items() for x in r])
+    want = {d: (n, i, pytest.approx(b)) for d, n, i, b in con.sql(licenses.ORACLES["op3_license_scan"]).fetchall()}
+    assert {d: (len(list(h)), ",".join(sorted(h)), max(h.values(), default=0.0)) for d, h in got.items()} == want
+
+
 def test_language_model(spark, docs, texts, monkeypatch):
     for limit in (None, 500):  # with few known words, counts come from the shards
         if limit:
