@@ -8,6 +8,10 @@ table gives an empty result with the same schema.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
 import re
 import tempfile
 
@@ -74,6 +78,19 @@ def keep(df: DataFrame) -> DataFrame:
 SPREAD_BYTES = 1 << 30
 
 
+@functools.cache
+def one_thread() -> None:
+    """Products of matrices on one thread in this process: tasks fill the cores already, and threads
+    that wait for each other's small shares use twice the CPU time. Without effect on other libraries
+    than the one that numpy brings."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table; a small one in few files is dealt to all cores."""
     rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")

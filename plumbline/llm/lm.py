@@ -207,6 +207,7 @@ def train(encoded: DataFrame, head: int, counts: np.ndarray, tokens: int, rounds
         def learn(batches, now=now, rate=rate):
             from pyspark import TaskContext
 
+            C.one_thread()
             own, learnt, seen, texts = None, 0, 0, []
 
             def piece():
@@ -284,6 +285,7 @@ def network_scores(encoded: DataFrame, model: Gru) -> DataFrame:
     names = ["uid", "doc_id", "n_tokens", "n_known", "logs"]
 
     def run(batches):
+        C.one_thread()
         pool, size = [], 0
 
         def told():

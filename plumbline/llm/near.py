@@ -307,6 +307,7 @@ def in_blocks(docs: DataFrame, large: DataFrame, registers: DataFrame) -> DataFr
         if not len(low) or not len(high):
             return pd.DataFrame({"a": [], "b": []})
         x, y = (np.stack([np.frombuffer(r, "<u4") for r in p.registers]) for p in (low, high))
+        C.one_thread()
         own, others = _Sets(low.shingles), _Sets(high.shingles)
         may = own.may_be_near(others)
         labels, nodes = high.label.to_numpy(), high.node.to_numpy()
