@@ -13,10 +13,10 @@ import heapq
 
 import numpy as np
 
-SIZE, WIDTH = 32, 128
+SIZE, WIDTH = 24, 64
 #: Streams learnt side by side, and steps of truncated backpropagation.
-STREAMS, STEPS = 128, 24
-RATE, CLIP = 0.02, 5.0
+STREAMS, STEPS = 256, 24
+RATE, CLIP = 0.03, 5.0
 #: Streams of text scored side by side, and steps between two computations of the output.
 LANES, WINDOW = 512, 32
 _F = np.float32

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .gru import RATE, Gru
 
-HEAD, KNOWN, TAILS = 4096, 1 << 18, 32
+HEAD, KNOWN, TAILS = 2048, 1 << 18, 32
 ROUNDS, FAN = 2, 8
 #: Training tokens for each part of a round, while there are at most `MOST_PARTS`; beyond that for
 #: each part, so that the copies to be averaged stay small beside the corpus.
