@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, TREES, SUBSAMPLE, SEED = 8192, 128, 512, 17
+SAMPLE, TREES, SUBSAMPLE, SEED = 8192, 384, 512, 17
 LOST, DEFAULT_THRESHOLD = 0.01, 0.65
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Bins of the score between 0 and 1 in which labelled rows are counted.
@@ -156,7 +156,7 @@ class Forest:
         size = min(subsample, max(len(rows), 1))
         self.depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
         nodes = 2 ** (self.depth + 1) - 1
-        self.feature = np.zeros((trees, nodes), np.int64)
+        self.feature = np.zeros((trees, nodes), np.int16)
         self.cut = np.full((trees, nodes), np.inf)
         self.path = np.zeros((trees, nodes))
         self.norm = max(float(_average_path(size)), 1e-9)
