@@ -27,8 +27,9 @@ from . import common as C
 from . import rules
 
 SAMPLE, RANK, HASHED, EPOCHS, BATCH, RATE, SEED = 8000, 8, 1 << 14, 8, 64, 0.05, 5
-#: Structure statistics and metadata, the inputs after the hashed ones.
-DENSE = [*rules.FEATURES, "word_length", "line_words", "log_words", "digit_share", "log_n_chars", "has_n_chars"]
+#: Structure statistics and metadata, the inputs after the hashed ones: the shares of the quality
+#: rules, and words and lines on scales of about 1.
+DENSE = [*rules.FEATURES[2:], "word_length", "line_words", "log_words", "digit_share", "log_n_chars", "has_n_chars"]
 INPUTS = HASHED + len(DENSE)
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -56,7 +57,7 @@ def inputs(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[
     size, words = np.maximum(counts[:, 1], 1), np.maximum(counts[:, 0], 1)
     lines = rules._per_row(data == 10, offsets) + 1
     known = n_chars >= 0
-    dense = np.concatenate([features, np.stack([counts[:, 1] / words / 10, np.log1p(counts[:, 0] / lines) / 5, np.log1p(counts[:, 0]) / 10, rules._per_row((data >= 48) & (data < 58), offsets) / size, np.where(known, np.log1p(np.maximum(n_chars, 0)) / 15, 0), known], 1)], 1)
+    dense = np.concatenate([features[:, 2:], np.stack([counts[:, 1] / words / 10, np.log1p(counts[:, 0] / lines) / 5, np.log1p(counts[:, 0]) / 10, rules._per_row((data >= 48) & (data < 58), offsets) / size, np.where(known, np.log1p(np.maximum(n_chars, 0)) / 15, 0), known], 1)], 1)
     all_rows = np.concatenate([which, np.repeat(np.arange(rows), len(DENSE))])
     all_inputs = np.concatenate([key % HASHED, np.tile(np.arange(HASHED, INPUTS), rows)])
     all_values = np.concatenate([value, np.minimum(dense, 2).ravel()])
