@@ -8,8 +8,10 @@ table gives an empty result with the same schema.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import gc
 import glob
 import os
 import re
@@ -18,7 +20,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,23 @@ def one_thread() -> None:
                 break
 
 
+_tidied: set[int] = set()
+
+
+def tidy() -> None:
+    """At the first batch of a task, hand what earlier tasks of this process have freed back to the system:
+    workers live as long as their executor, and their allocators keep it otherwise."""
+    context = TaskContext.get()
+    if context is None or context.taskAttemptId() in _tidied:
+        return
+    _tidied.clear()
+    _tidied.add(context.taskAttemptId())
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table; a small one in few files is dealt to all cores."""
     rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -144,6 +163,7 @@ def text_bytes(spark_df: DataFrame) -> int:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; nulls are empty."""
+    tidy()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "")
