@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Columns
 from ..plans import logical as L
 from ..plans.logical import X
+from ..plans.weights import weighed
 
 
 @dataclass
@@ -176,6 +177,9 @@ class Lowerer:
         return Lowered(df, layer.keys if attached else list(self.root.keys), left.order + right.order, attached)
 
     def _aggregate(self, rel: L.Aggregate, layer) -> Lowered:
+        weight = None
+        if layer is self.root and layer.frame is None and not self.positions and (found := weighed(rel, self.new, self.exact)) is not None:
+            rel, weight = found[0], reduce(lambda a, b: a * b, map(F.col, found[1]))
         low = self.relation(rel.input, layer)
         exprs = [x for _, x in rel.keys] + [a for _, g in rel.aggs for a in g.args]
         low, found = self.prepared(low, exprs, layer)
@@ -188,7 +192,11 @@ class Lowerer:
         for i, g in rel.aggs:
             args = tuple(found[at : at + len(g.args)])
             at += len(g.args)
-            aggs.append(build.aggregate(g.name, g.distinct, g.type, args).alias(i))
+            if weight is not None and g.name == "count" and not g.distinct:
+                rows = F.when(build(args[0]).isNotNull(), weight) if args else weight
+                aggs.append(F.coalesce(F.sum(rows), F.lit(0)).alias(i))
+            else:
+                aggs.append(build.aggregate(g.name, g.distinct, g.type, args).alias(i))
         position, order = None, []
         if rel.firsts or low.order and self.positions:
             low, position = self._numbered(low)

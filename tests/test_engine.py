@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 
 from plumbline.engine import Engine
@@ -140,3 +141,43 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("seen")) == [(2,)]
     with pytest.raises(QueryError):
         continuous(e, "SELECT COUNT(*) AS n FROM s")
+
+
+MANY = {
+    "SELECT a.id, COUNT(*) AS n FROM m a JOIN m b ON a.k = b.k GROUP BY a.id": "joined once",
+    "SELECT COUNT(*) AS n, COUNT(a.v) AS p, COUNT(b.v) AS q, COUNT(DISTINCT a.v, b.k) AS d, MIN(a.v + b.v) AS l, MAX(b.v) AS h FROM m a, m b WHERE a.k = b.k AND b.v > 0": "joined once",
+    "SELECT a.k, COUNT(b.v) AS n FROM m a JOIN m b ON a.k = b.k AND a.v < b.v GROUP BY a.k": "joined once",
+    "SELECT a.k + 1 AS x, COUNT(*) AS n FROM m a JOIN (SELECT k AS j, v + 1 AS w FROM m WHERE v IS NOT NULL) b ON a.k = b.j JOIN m c ON c.k = b.j GROUP BY a.k + 1 HAVING COUNT(*) > 2": "joined once",
+    "SELECT a.k, COUNT(*) AS n FROM m a, none b GROUP BY a.k": "joined once",
+    "SELECT COUNT(*) AS n, MAX(a.v) AS h FROM m a, none b": "joined once",
+    "SELECT a.k, SUM(b.v) AS n FROM m a JOIN m b ON a.k = b.k GROUP BY a.k": "as it is",
+    "SELECT a.id, COUNT(*) AS n FROM m a JOIN m b ON a.id = b.id GROUP BY a.id": "as it is",
+    "SELECT a.id, COUNT(b.k) AS n FROM m a LEFT JOIN m b ON a.k = b.k GROUP BY a.id": "as it is",
+}
+
+
+@pytest.mark.parametrize("text", sorted(MANY))
+def test_counts_over_joins_of_many_with_many(spark, text):
+    found = [(i, i % 4 if i % 5 else None, i % 3 if i % 7 else None) for i in range(40)]
+    e = Engine(spark)
+    e.register("m", spark.createDataFrame(found, "id long, k long, v long"), ("id",))
+    e.register("none", spark.createDataFrame([], "id long"), ("id",))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE m (id BIGINT, k BIGINT, v BIGINT)")
+    duck.executemany("INSERT INTO m VALUES (?, ?, ?)", found)
+    duck.execute("CREATE TABLE none (id BIGINT)")
+    df = e.sql(text)
+    same = text.replace("COUNT(DISTINCT a.v, b.k)", "COUNT(DISTINCT CASE WHEN a.v IS NOT NULL AND b.k IS NOT NULL THEN (a.v, b.k) END)")
+    assert rows(df) == sorted(duck.execute(same).fetchall(), key=repr)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join ") :] if "Join " in plan else ""
+    assert "Aggregate" in below or not below if MANY[text] == "joined once" else "Aggregate" not in below
+
+
+def test_counts_of_large_groups(spark):
+    """9 * 10**10 joined rows, far more than can be made one by one."""
+    e = Engine(spark)
+    e.register("big", spark.range(300_000).selectExpr("id", "0 AS k"), ("id",))
+    df = e.sql("SELECT a.k, COUNT(*) AS n, COUNT(DISTINCT b.k) AS d FROM big a JOIN big b ON a.k = b.k GROUP BY a.k")
+    assert "Aggregate" in df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
+    assert rows(df) == [(0, 90_000_000_000, 1)]
