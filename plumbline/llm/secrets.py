@@ -110,20 +110,21 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, counted: DataF
     apart = apart if known is None else apart.union(known)
     held = B.build(apart, F.xxhash64("blob"))
 
-    def dealt(may: bool):
+    def dealt(may: bool, then, schema: str):
         def run(batches):
             for batch in batches:
                 hit = B.passes(held, np.asarray(batch.column("h")).view(np.uint64))
                 yield batch.filter(pa.array(hit if may else ~hit)).select(["blob", "text"])
 
-        return catalog(docs).select("blob", "text", F.xxhash64("blob").alias("h")).mapInArrow(run, "blob string, text string")
+        return catalog(docs).select("blob", "text", F.xxhash64("blob").alias("h")).mapInArrow(lambda batches: then(run(batches)), schema)
 
-    some = dealt(True)
+    some = dealt(True, iter, "blob string, text string")
     if known is not None:
         some = some.join(known.distinct(), "blob", "left_anti")
     # copies are dropped before the shuffle too, so that a text arrives once from each task
     one = some.groupBy("blob").agg(F.first("text").alias("text"))
-    return dealt(False).union(one).mapInArrow(_scan, LEDGER)
+    # scanned where they are dealt: a second Python function in a task has a worker of its own, which stays
+    return dealt(False, _scan, LEDGER).union(one.mapInArrow(_scan, LEDGER))
 
 
 def _scanned(docs: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame, list]:

@@ -71,3 +71,11 @@ def test_pages(spark):
     nothing = warc.tree(warc.records(pages.limit(0)))[1]
     assert warc.offsets(nothing).count() == 0 and warc.audit(nothing, nothing).count() == 0
     assert warc.audit(trees, nothing).count() == len(placed)
+
+
+def test_secrets_are_scanned_by_one_python_worker_of_a_task(spark):
+    docs = spark.createDataFrame([(k, f"password = hunter{k % 7}{'x' * k}" if k % 3 else "password = hunter22") for k in range(30)], "doc_id long, text string")
+    found = secrets.scan_unseen(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    assert len(rows := found.collect()) == len({r.blob for r in rows}) == docs.select("text").distinct().count()
+    assert all(r.spans.startswith("assign:0:") for r in rows)
